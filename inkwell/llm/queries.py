@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm.common import documents
+from inkwell.llm.common import documents, table
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +13,12 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(documents(spark, sf_dir))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm.quality import quality_scores
+
+    return quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkwell.llm.bpe import encoding_digests
 
@@ -31,7 +37,13 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(store(documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op3_bpe, op7_exact_dedup, op8_media)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pack, op2_quality, op3_bpe, op7_exact_dedup, op8_media, op10_toxicity)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""
