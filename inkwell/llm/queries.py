@@ -37,13 +37,19 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(store(documents(spark, sf_dir)))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkwell.llm.toxicity import toxicity_scores
 
     return toxicity_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_quality, op3_bpe, op7_exact_dedup, op8_media, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_pack, op2_quality, op3_bpe, op7_exact_dedup, op8_media, op9_html, op10_toxicity)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""
