@@ -4,9 +4,10 @@ Of the segmentations of a byte string into tokens exactly one is what the merges
 and every prefix of an encoded string is encoded by the tokens that end there. So it is enough to store
 for each prefix its one valid last token: the token t that ends at i is valid if the last token p of the
 prefix before t and t form a valid pair, that is, if encoding their joined bytes gives (p, t) again.
-Following the last tokens back from the end gives the ids. Appending bytes extends the table and leaves
-what is there as it is; after an edit only the prefixes behind the edit are computed again, which
-``PrefixTable`` offers.
+Following the last tokens back from the end gives the ids. What a prefix holds depends on nothing
+behind it, so one table serves all strings: a string that shares a beginning with an earlier one starts
+there. Appending bytes leaves what is stored as it is; after an edit only the prefixes behind the edit
+are computed again, which ``PrefixTable`` offers.
 
 Whether a pair is valid is found by undoing merges: the two tokens are split back, latest merge first,
 and the pair is invalid as soon as a merge across the seam would have come before the one undone.
@@ -16,7 +17,9 @@ from __future__ import annotations
 
 import base64
 import functools
-from collections.abc import Iterator
+import re
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,20 +27,32 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import ChunkCoder, slices, text_or_empty, tokenizer_path
+from inkwell.llm.common import LETTERS, NUMBERS, PLAIN, ChunkCoder, slices, text_or_empty, tokenizer_path
 
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
+#: Entries that a worker's lookup tables hold at most before they are emptied, and bytes of a string whose prefixes are shared.
+LIMIT, SHARED = 250_000, 64
+
+
 class Vocabulary:
     """Ranks of byte strings, with what the pair test needs: the two tokens each token was merged from."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.tokens = {i: t for t, i in ranks.items()}
-        self.longest = max(map(len, ranks))
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
+        #: The last token of every byte prefix met so far.
+        self.last: dict[bytes, int] = {}
+        #: Lengths of tokens by their last three bytes.
+        sizes: dict[bytes, set[int]] = {}
+        for t in ranks:
+            sizes.setdefault(t[-3:], set()).add(len(t))
+        self.sizes = {k: tuple(sorted(v | {i for i in range(1, len(k)) if k[-i:] in ranks}, reverse=True)) for k, v in sizes.items()}
+        #: Tokens that their own bytes are not encoded as.
+        self.broken: set[int] = set()
         self.halves = functools.lru_cache(maxsize=None)(self._halves)
 
     @classmethod
@@ -70,11 +85,9 @@ class Vocabulary:
 
     def valid(self, left: int, right: int) -> bool:
         """Whether the ids (left, right) stay apart, as they are, when their bytes are encoded together."""
-        known = self.pairs.get((left, right))
+        known = self.pairs.get(left << 32 | right)
         if known is None:
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self._valid(left, right)
+            known = self.pairs[left << 32 | right] = self._valid(left, right)
         return known
 
     def _valid(self, left: int, right: int) -> bool:
@@ -97,11 +110,76 @@ class Vocabulary:
         known = self.alone.get(token)
         if known is None:
             known = self.alone[token] = self.merged(self.tokens[token]) == [token]
+            if not known:
+                self.broken.add(token)
         return known
 
+    def last_token(self, data: bytes, end: int, last: Callable[[int], int]) -> int:
+        """The valid last token of data[:end]; ``last`` gives that of shorter prefixes, by their length."""
+        ranks, pairs = self.ranks, self.pairs
+        for size in self.sizes.get(data[max(0, end - 3) : end]) or self._sizes(data[max(0, end - 3) : end]):
+            if size > end:
+                continue
+            token = ranks.get(data[end - size : end])
+            if token is None or token in self.broken:
+                continue
+            if size == end:
+                if self.whole(token):
+                    return token
+                continue
+            left = last(end - size)
+            known = pairs.get(left << 32 | token)
+            if (self.valid(left, token) if known is None else known) and self.whole(token):
+                return token
+        raise ValueError("a byte has no token")
+
+    def _sizes(self, tail: bytes) -> tuple[int, ...]:
+        """The lengths that tokens can have which end like this, greatest first."""
+        found = {len(t) for t in self.ranks if t.endswith(tail)} | {k for k in range(1, len(tail)) if tail[-k:] in self.ranks}
+        self.sizes[tail] = tuple(sorted(found, reverse=True))
+        return self.sizes[tail]
+
+    def encode(self, data: bytes) -> list[int]:
+        """Ids of one match of the pattern: itself where it is a token, else by the last tokens of its prefixes."""
+        ranks, n = self.ranks, len(data)
+        if (token := ranks.get(data)) is not None:
+            return [token]
+        if n > SHARED:  # its prefixes would fill the table; none of them is likely to come again
+            return PrefixTable(self, data).ids()
+        last, sizes, pairs, broken = self.last, self.sizes, self.pairs, self.broken
+        if len(last) > LIMIT:
+            last.clear()
+        if len(pairs) > LIMIT:
+            pairs.clear()
+        k = n - 1
+        while k and data[:k] not in last:
+            k -= 1
+        for end in range(k + 1, n + 1):
+            tail = data[end - 3 : end] if end > 2 else data[:end]
+            for size in sizes.get(tail) or self._sizes(tail):
+                # the same test as in last_token, without its calls
+                start = end - size
+                if start < 0 or (token := ranks.get(data[start:end])) is None or token in broken:
+                    continue
+                if start:
+                    left = last[data[:start]]
+                    known = pairs.get(left << 32 | token)
+                    if not (self.valid(left, token) if known is None else known):
+                        continue
+                if self.whole(token):
+                    last[data[:end]] = token
+                    break
+            else:
+                raise ValueError("a byte has no token")
+        out = []
+        while n:
+            out.append(last[data[:n]])
+            n -= len(self.tokens[out[-1]])
+        return out[::-1]
+
 
 class PrefixTable:
-    """The last token of every prefix of a byte string; prefixes are only ever added or cut off."""
+    """The last token of every prefix of one byte string; prefixes are only ever added or cut off."""
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
         self.v, self.data, self.last = vocabulary, b"", [-1]
@@ -109,17 +187,9 @@ class PrefixTable:
 
     def append(self, more: bytes) -> None:
         """Add bytes; the prefixes already stored stay valid."""
-        v, data, last = self.v, self.data + more, self.last
-        ranks, valid = v.ranks, v.valid
-        for end in range(len(self.data) + 1, len(data) + 1):
-            for start in range(max(0, end - v.longest), end):
-                token = ranks.get(data[start:end])
-                if token is not None and (not start or last[start] >= 0 and valid(last[start], token)) and v.whole(token):
-                    last.append(token)
-                    break
-            else:
-                raise ValueError("a byte has no token")
-        self.data = data
+        start, self.data = len(self.data), self.data + more
+        for end in range(start + 1, len(self.data) + 1):
+            self.last.append(self.v.last_token(self.data, end, self.last.__getitem__))
 
     def edit(self, start: int, stop: int, new: bytes) -> None:
         """Replace data[start:stop]; only prefixes longer than ``start`` are computed again."""
@@ -136,39 +206,17 @@ class PrefixTable:
         return out[::-1]
 
 
-_ODD_SPACE = regex.compile(r" \s|^ | $|[\x1c-\x1f\x85]")
-_CUT = regex.compile(r"(?<=\S)(?= \S)|(?<=\s)(?= \S)", flags=regex.V1)
-
-
-def split_at_spaces(text: str) -> list[str]:
-    """Cut before every space that a character follows: no match of the pattern reaches over such a place."""
-    if not _ODD_SPACE.search(text):
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
-    return [x for x in _CUT.split(text) if x]
+_PLAIN_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^\\s{L}{N}]+|\\s+(?!\\S)|\\s+".replace("{L}", LETTERS).replace("{N}", NUMBERS)
 
 
 @functools.lru_cache(maxsize=4)
-def chunk_encoder(v: Vocabulary) -> ChunkCoder:
-    matches: dict[str, bytes] = {}
-
-    def encode_many(chunks: list[str]) -> list[bytes]:
-        if len(matches) > 400_000:
-            matches.clear()
-        out = []
-        for chunk in chunks:
-            ids = []
-            for m in v.pattern.findall(chunk):
-                got = matches.get(m)
-                if got is None:
-                    data = m.encode()
-                    token = v.ranks.get(data)
-                    got = matches[m] = np.asarray([token] if token is not None else PrefixTable(v, data).ids(), dtype="<u4").tobytes()
-                ids.append(got)
-            out.append(b"".join(ids))
-        return out
+def piece_encoder(v: Vocabulary) -> ChunkCoder:
+    """Encodes texts by the matches of the pattern, each of which is encoded by itself, once."""
+    import public_tokenizers
 
-    return ChunkCoder(encode_many, split_at_spaces)
+    plain = re.compile(_PLAIN_PATTERN).findall if v.pattern.pattern == public_tokenizers.PATTERN else None
+    split = lambda text: plain(text) if plain and PLAIN.fullmatch(text) else v.pattern.findall(text)
+    return ChunkCoder(lambda pieces: [array("I", v.encode(p.encode())).tobytes() for p in pieces], split, LIMIT)
 
 
 def decode(v: Vocabulary, ids: bytes) -> bytes:
@@ -188,7 +236,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
     """doc_id, ids binary (little-endian unsigned 32-bit). A null or empty text has no ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = chunk_encoder(_vocabulary(path, pattern))
+        coder = piece_encoder(_vocabulary(path, pattern))
         for whole in batches:
             for batch in slices(whole):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(coder.encode(batch.column("text").to_pylist()), pa.binary())], ["doc_id", "ids"])

@@ -18,8 +18,11 @@ fixes goes by best fit, longest first, into the fullest open sequence that can t
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import ChunkCoder, checkpoint, slices, text_or_empty, tokenizer_path
+from inkwell.llm.common import LETTERS, NUMBERS, PLAIN, ChunkCoder, checkpoint, slices, text_or_empty, tokenizer_path
 
 #: Documents a shard is meant to hold.
 SHARD = 32_768
@@ -37,18 +40,54 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
+#: How the tokenizer file splits text into the words it merges within; a fixed value of that file.
+_WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PLAIN_WORD = re.compile(_WORD.replace(r"[\p{L}]", f"[{LETTERS}]").replace(r"[\p{N}]", f"[{NUMBERS}]").replace(r"\p{L}\p{N}", LETTERS + NUMBERS))
+
+
 @functools.lru_cache(maxsize=4)
 def word_tokenizer(path: str) -> ChunkCoder:
-    """Ids by a ``tokenizers`` file that drops white space, so that what stands between spaces is encoded alone."""
+    """Ids by a ``tokenizers`` file that drops white space, so that what stands between spaces is encoded alone.
+
+    Where the file splits as ``_WORD`` does, plain texts are split here, and each word is encoded once.
+    Pieces that begin with a space are what stands between the spaces of other texts.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-
-    def encode_many(chunks: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch(chunks, add_special_tokens=False)]
-
-    return ChunkCoder(encode_many, lambda text: text.replace("\n", " ").split(" "))
+    with open(path, encoding="utf-8") as f:
+        parts = json.load(f)
+    first = (parts["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+    by_word = first.get("pattern", {}).get("Regex") == _WORD and [x["type"] for x in parts["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"]
+    specials = [x["content"] for x in parts["added_tokens"]]
+
+    def split(text: str) -> list[str]:
+        if by_word and PLAIN.fullmatch(text) and not any(x in text for x in specials):
+            return _PLAIN_WORD.findall(text.lower())
+        return [" " + x for x in text.replace("\n", " ").split(" ")]
+
+    def ids_of(texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_many(pieces: list[str]) -> list[bytes]:
+        words = [p for p in pieces if p[0] != " "]
+        ids = []
+        for at in range(0, len(words), 256):  # many in one call
+            part = words[at : at + 256]
+            e = tok.encode(" ".join(part), add_special_tokens=False)
+            cuts = np.flatnonzero(np.diff(np.asarray(e.word_ids), prepend=-1)).tolist()
+            if len(cuts) != len(part):
+                ids += ids_of(part)
+                continue
+            raw = array("I", e.ids).tobytes()
+            ids += [raw[4 * a : 4 * b] for a, b in zip(cuts, [*cuts[1:], len(e)], strict=True)]
+        if len(words) == len(pieces):
+            return ids
+        known, odd = iter(ids), iter(ids_of([p[1:] for p in pieces if p[0] == " "]))
+        return [next(odd) if p[0] == " " else next(known) for p in pieces]
+
+    return ChunkCoder(encode_many, split, 300_000)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
