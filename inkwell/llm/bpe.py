@@ -134,10 +134,11 @@ class Vocabulary:
         raise ValueError("a byte has no token")
 
     def _sizes(self, tail: bytes) -> tuple[int, ...]:
-        """The lengths that tokens can have which end like this, greatest first."""
-        found = {len(t) for t in self.ranks if t.endswith(tail)} | {k for k in range(1, len(tail)) if tail[-k:] in self.ranks}
-        self.sizes[tail] = tuple(sorted(found, reverse=True))
-        return self.sizes[tail]
+        """The lengths of tokens at the end of a tail that no longer token has, greatest first."""
+        if len(self.sizes) > LIMIT:
+            return tuple(k for k in range(len(tail), 0, -1) if tail[-k:] in self.ranks)
+        found = self.sizes[tail] = tuple(k for k in range(len(tail), 0, -1) if tail[-k:] in self.ranks)
+        return found
 
     def encode(self, data: bytes) -> list[int]:
         """Ids of one match of the pattern: itself where it is a token, else by the last tokens of its prefixes."""
