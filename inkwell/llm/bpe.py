@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import re
 from array import array
 from collections.abc import Callable, Iterator
@@ -33,7 +34,7 @@ ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 #: Entries that a worker's lookup tables hold at most before they are emptied, and bytes of a string whose prefixes are shared.
-LIMIT, SHARED = 250_000, 64
+LIMIT, SHARED = 150_000, 64
 
 
 class Vocabulary:
@@ -258,6 +259,21 @@ def decode_documents(encoded: DataFrame, path: str | None = None, pattern: str |
 
 
 def encoding_digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text, encoded and decoded again. Null is empty; repeated rows each have theirs."""
-    decoded = decode_documents(encode_documents(docs, path, pattern), path, pattern)
-    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text, encoded and decoded again.
+
+    Both ways in one pass, so that the ids stay in the worker. Null is empty; repeated rows each have theirs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = _vocabulary(path, pattern)
+        coder = piece_encoder(v)
+        for whole in batches:
+            for batch in slices(whole, most=4 << 20):
+                n, ids_hash, text_hash = [], [], []
+                for ids in coder.encode(batch.column("text").to_pylist()):
+                    n.append(len(ids) // 4)
+                    ids_hash.append(hashlib.sha256(ids).hexdigest())
+                    text_hash.append(hashlib.sha256(decode(v, ids)).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, ENCODED)
