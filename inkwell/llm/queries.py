@@ -31,6 +31,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(documents(spark, sf_dir))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm.jaccard_join import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkwell.llm.exact_dedup import exact_dedup
 
@@ -55,7 +61,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_quality, op3_bpe, op5_line_dedup, op7_exact_dedup, op8_media, op9_html, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_pack, op2_quality, op3_bpe, op5_line_dedup, op6_jaccard, op7_exact_dedup, op8_media, op9_html, op10_toxicity)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""
