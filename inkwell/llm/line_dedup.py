@@ -55,6 +55,17 @@ def block_keys(rows: DataFrame, blocks: int, *keep: str) -> DataFrame:
     return rows.select(*keep, F.explode(F.array(*[at(base, b) for base in (n, n - 1) for b in range(blocks)])).alias("k")).select(*keep, "k.base", "k.block", "k.key")
 
 
+def half_keys(rows: DataFrame) -> DataFrame:
+    """h1 and key: hashes of the line's first and last half, with the base; the keys of two blocks without their numbers."""
+    rows = rows.select("h1", "line", F.length("line").alias("n"))
+
+    def both(base: Column) -> list[Column]:
+        first = F.shiftright(base, 1)
+        return [F.xxhash64(base, F.substring("line", F.lit(1), first)), F.xxhash64(base, F.lit("|"), F.substring("line", F.col("n") - (base - first) + 1, base - first))]
+
+    return rows.select("h1", F.explode(F.array(*both(F.col("n")), *both(F.col("n") - 1))).alias("key"))
+
+
 def _shared(keys: DataFrame) -> DataFrame:
     """The keys that more than one line has."""
     return keys.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a < b").select("key")
@@ -77,11 +88,11 @@ def earlier_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """h1, h2 of every distinct line that is within one edit of an earlier line, and that line's doc_id and line_no."""
     every = lines(docs, id_col, text_col)
     firsts = every.groupBy(*LINE).agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    halves = block_keys(every, 2, "h1")
-    likely = block_keys(every, 2, *LINE).join(_shared(halves), "key", "left_semi").select(*LINE).distinct().join(firsts, LINE)
+    halves = half_keys(every)
+    likely = half_keys(every).join(_shared(halves), "key", "left_semi").select("h1").distinct().join(firsts, "h1")
     # one row for each distinct line that may have a partner, with its text
     places = likely.select(*LINE, "first", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
-    texts = every.join(places.select(*LINE, "first", "doc_id", "line_no"), [*LINE, "doc_id", "line_no"]).dropDuplicates(LINE)
+    texts = every.select("h1", "doc_id", "line_no", "line").join(places, ["h1", "doc_id", "line_no"]).dropDuplicates(LINE)
     keys = block_keys(texts, BLOCKS, *LINE, "first", "line")
     near = keys.join(_shared(keys.select("h1", "key")), "key", "left_semi")
     v = variants(near)
