@@ -25,6 +25,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(documents(spark, sf_dir))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm.substring_dedup import substring_dedup
+
+    return substring_dedup(documents(spark, sf_dir))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkwell.llm.line_dedup import line_dedup
 
@@ -61,7 +67,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_quality, op3_bpe, op5_line_dedup, op6_jaccard, op7_exact_dedup, op8_media, op9_html, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_pack, op2_quality, op3_bpe, op4_substrings, op5_line_dedup, op6_jaccard, op7_exact_dedup, op8_media, op9_html, op10_toxicity)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""

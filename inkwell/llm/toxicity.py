@@ -155,6 +155,17 @@ def score(docs: DataFrame, model: Model, modulus: int = 4, remainder: int = 2, t
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(modulus, remainder).alias("held_out"), text_or_empty().alias("text")).mapInArrow(run, SCORED)
 
 
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text scores below the threshold. Null and empty texts score by the bias alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, text_col):
+                yield batch.filter(pa.array([model.score(t or "") < threshold for t in batch.column(text_col).to_pylist()]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores by a model that learns from the toxic rows whose crc32(doc_id) mod 4 is not 2, and unlabelled text."""
     return score(docs, fit(docs, labels))
