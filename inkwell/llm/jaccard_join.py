@@ -13,11 +13,14 @@ Matrix: in a total order of all tokens, two sets with Jaccard similarity t have
 their first n - ceil(t n) + 1 (the prefix), so the matrix needs the prefixes alone. The order puts tokens
 that are frequent in many partitions last, so that passages in many documents do not make them
 candidates. A token in one node only is dropped in the partition it is dealt to, one in a single group
-after the groups are known.
+after the groups are known. Tokens that several nodes of a slice share are known to be shared there
+and then: their rows are dealt at random, and only one witness of them goes by the token, so that no
+partition gets the rows of a frequent token.
 
-Bound: if a node has i tokens up to its last match with the group and c of them match, no member has more than c + (n - i)
-in common with it. Groups that fall short are not opened; in an opened group the same bound holds for
-each member, with the tokens shared with that member. What remains is verified on the texts.
+Bound: if a node has i tokens up to its last match with the group and c of them match, no member has
+more than c + (n - i) in common with it, nor more than c and what the member has behind that match.
+Groups that fall short are not opened; in an opened group the same bound holds for each member, with
+the tokens shared with that member. What remains is verified on the texts.
 
 Links between groups and within them give the components, by large and small stars.
 """
@@ -31,6 +34,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkwell.llm.common import checkpoint, slices, text_or_empty
@@ -52,11 +56,15 @@ def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     return [np.unique(shingle_hashes(h, words) >> np.uint64(2)).astype(np.int64) for h in word_hashes([t.translate(LOWER) for t in texts])]
 
 
+def _hash(data: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(data) - (1 << 63)
+
+
 def _node(tokens: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
+    return _hash(tokens.tobytes())
 
 
-_BASE = "doc_id long, node long, n long, minima array<long>, token long, times long"
+_BASE = "doc_id long, text_hash long, node long, n long, minima array<long>, token long, times long"
 
 
 def _profile(docs: DataFrame, words: int) -> DataFrame:
@@ -66,7 +74,8 @@ def _profile(docs: DataFrame, words: int) -> DataFrame:
         seen: set[int] = set()
         for whole in batches:
             for batch in slices(whole):
-                sets = shingle_sets(batch.column("text").cast(pa.binary()).to_pylist(), words)
+                texts = batch.column("text").cast(pa.binary()).to_pylist()
+                sets = shingle_sets(texts, words)
                 nodes, minima, new = [], [], []
                 for s in sets:
                     nodes.append(_node(s))
@@ -82,42 +91,38 @@ def _profile(docs: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.concat_arrays([batch.column("doc_id"), pa.nulls(none, pa.int64())]),
+                        pa.array([_hash(t) for t in texts] + [None] * none, pa.int64()),
                         pa.array(nodes + [None] * none, pa.int64()),
                         pa.array([len(s) for s in sets] + [None] * none, pa.int64()),
                         pa.array(minima + [None] * none, pa.list_(pa.int64())),
                         pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(token, pa.int64())]),
                         pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(times, pa.int64())]),
                     ],
-                    ["doc_id", "node", "n", "minima", "token", "times"],
+                    ["doc_id", "text_hash", "node", "n", "minima", "token", "times"],
                 )
 
     return docs.mapInArrow(run, _BASE)
 
 
-def _packed(docs: DataFrame, words: int) -> DataFrame:
-    """node, packed: every text that has a set, compressed."""
+def _packed(docs: DataFrame) -> DataFrame:
+    """text_hash, packed: every text, compressed; of copies in a partition one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zip_ = zstandard.ZstdCompressor(level=3)
+        zip_ = zstandard.ZstdCompressor(level=1)
         seen: set[int] = set()
         for whole in batches:
             for batch in slices(whole):
-                texts = batch.column("text").cast(pa.binary()).to_pylist()
-                node, packed = [], []
-                for t, s in zip(texts, shingle_sets(texts, words), strict=True):
-                    if len(s) and (k := _node(s)) not in seen:
-                        seen.add(k)
-                        node.append(k)
-                        packed.append(zip_.compress(t))
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(packed, pa.binary())], ["node", "packed"])
+                found = {h: t for t in batch.column("text").cast(pa.binary()).to_pylist() if (h := _hash(t)) not in seen}
+                seen |= found.keys()
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([zip_.compress(t) for t in found.values()], pa.binary())], ["text_hash", "packed"])
 
-    return docs.mapInArrow(run, "node long, packed binary")
+    return docs.mapInArrow(run, "text_hash long, packed binary")
 
 
-def verified(pairs: DataFrame, packed: DataFrame, words: int, similar: int) -> DataFrame:
-    """The pairs (u, v) of nodes whose texts' sets are similar enough."""
-    wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    texts = checkpoint(packed.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+def verified(pairs: DataFrame, nodes: DataFrame, packed: DataFrame, words: int, similar: int) -> DataFrame:
+    """The pairs (u, v) of nodes whose texts' sets are similar enough; ``nodes`` has a text_hash of each node."""
+    wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct().join(nodes.select("node", "text_hash"), "node")
+    texts = checkpoint(packed.join(wanted, "text_hash").dropDuplicates(["node"]).select("node", "packed"))
     both = pairs.join(texts.select(F.col("node").alias("v"), F.col("packed").alias("b")), "v").join(texts.select(F.col("node").alias("u"), F.col("packed").alias("a")), "u")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,13 +150,16 @@ def verified(pairs: DataFrame, packed: DataFrame, words: int, similar: int) -> D
 
 
 def _prefixes(docs: DataFrame, frequent: np.ndarray, words: int, similar: int) -> DataFrame:
-    """token, node, n, place (from 1), last (token of the prefix): the prefix of every set in the order that has frequent tokens last."""
+    """key, token, node, n, place (from 1), last (token of the prefix), kind: the prefix of every set in the order that has frequent tokens last.
+
+    kind 0: dealt by its token. 1: its token is shared within the slice, dealt at random. 2: the witness of such a token.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for whole in batches:
-            for batch in slices(whole, most=2 << 20):
-                token, node, n, place, last = [], [], [], [], []
+            for batch in slices(whole):
+                rows = []
                 for s in shingle_sets(batch.column("text").cast(pa.binary()).to_pylist(), words):
                     k = _node(s)
                     if not len(s) or k in seen:
@@ -162,15 +170,25 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, words: int, similar: int) -
                     if len(frequent):
                         at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                         s = np.sort(s | ((frequent[at] == s).astype(np.int64) << np.int64(62)))
-                    token.append(s[:p])
-                    node.append(np.full(p, k))
-                    n.append(np.full(p, size, dtype=np.int32))
-                    place.append(np.arange(1, p + 1, dtype=np.int32))
-                    last.append(np.full(p, s[p - 1]))
-                if token:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (token, node, n, place, last)], ["token", "node", "n", "place", "last"])
-
-    return docs.mapInArrow(run, "token long, node long, n int, place int, last long")
+                    rows.append((s[:p], k, size))
+                if not rows:
+                    continue
+                count = np.array([len(r[0]) for r in rows])
+                token = np.concatenate([r[0] for r in rows])
+                node = np.repeat(np.array([r[1] for r in rows], dtype=np.int64), count)
+                n = np.repeat(np.array([r[2] for r in rows], dtype=np.int32), count)
+                place = (np.arange(len(token)) - np.repeat(np.cumsum(count) - count, count) + 1).astype(np.int32)
+                last = np.repeat(np.array([r[0][-1] for r in rows]), count)
+                _, first, back, times = np.unique(token, return_index=True, return_inverse=True, return_counts=True)
+                shared = times[back] > 1
+                kind = shared.astype(np.int8)
+                key = np.where(shared, mix(token.view(np.uint64) ^ mix(node.view(np.uint64))).view(np.int64), token)
+                w = first[times > 1]
+                columns = [np.concatenate([x, x[w]]) for x in (key, token, node, n, place, last, kind)]
+                columns[0][len(token) :], columns[6][len(token) :] = token[w], 2
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["key", "token", "node", "n", "place", "last", "kind"])
+
+    return docs.mapInArrow(run, "key long, token long, node long, n int, place int, last long, kind byte")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
@@ -181,28 +199,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     profile = checkpoint(_profile(docs, words))
-    rows = profile.where("node IS NOT NULL").select("doc_id", "node", "n", "minima")
+    rows = profile.where("node IS NOT NULL").select("doc_id", "text_hash", "node", "n", "minima")
     common = profile.where("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(FREQUENT).select("token").toPandas()
     frequent = np.sort(common["token"].to_numpy(dtype=np.int64))
-    nodes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("minima").alias("minima"))
+    nodes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("minima").alias("minima"))
     by_hash = nodes.select("node", "n", F.posexplode("minima").alias("round", "hash"))
     leaders = by_hash.groupBy("round", "hash").agg(F.min(F.struct("node", "n")).alias("leader"), F.count("*").alias("members")).where("members > 1")
     fits = lambda a, b: (F.lit(100) * a >= F.lit(similar) * b) & (F.lit(100) * b >= F.lit(similar) * a)
     led = by_hash.join(leaders, ["round", "hash"]).where(F.col("node") != F.col("leader.node")).where(fits(F.col("n"), F.col("leader.n")))
-    packed = _packed(docs, words)
-    links = checkpoint(verified(checkpoint(led.select(F.col("node").alias("u"), F.col("leader.node").alias("v")).distinct()), packed, words, similar))
+    packed = _packed(docs)
+    links = checkpoint(verified(checkpoint(led.select(F.col("node").alias("u"), F.col("leader.node").alias("v")).distinct()), nodes, packed, words, similar))
     groups = connected_components(links).withColumnRenamed("component", "grp")
 
     # the matrix: prefix tokens of more than one node, then of more than one group
-    prefixes = _prefixes(docs, frequent, words, similar)
-    several = prefixes.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token")
-    shared = prefixes.join(several, "token", "left_semi")
-    grouped = shared.dropDuplicates(["token", "node"]).join(groups, "node", "left").withColumn("grp", F.coalesce("grp", "node"))
-    grouped = checkpoint(grouped)
-    between = grouped.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
-    cells = checkpoint(grouped.join(between, "token", "left_semi"))
-    lasts = cells.groupBy("grp").agg(F.min("last").alias("least_last"))
-    matrix = cells.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most")).join(lasts, "grp")
+    key, in_order = W.partitionBy("key"), W.partitionBy("key").orderBy("node")
+    prefixes = _prefixes(docs, frequent, words, similar).withColumns({"before": F.lag("node").over(in_order), "lo": F.min("node").over(key), "hi": F.max("node").over(key)})
+    shared = prefixes.where("kind < 2 AND (kind = 1 OR lo < hi) AND NOT node <=> before").select("token", "node", "n", "place", "last")
+    grouped = shared.join(groups, "node", "left").withColumn("grp", F.coalesce("grp", "node"))
+    several = grouped.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
+    cells = checkpoint(grouped.join(several, "token", "left_semi"))
+    sizes = cells.groupBy("grp").agg(F.min("last").alias("least_last"), F.min("node").alias("a"), F.max("node").alias("b")).select("grp", "least_last", (F.col("a") == F.col("b")).alias("single"))
+    matrix = cells.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("place")).alias("room")).join(sizes, "grp")
 
     def possible(common, n, m):
         """Whether sets of n and m members with at most so many in common can be similar enough."""
@@ -210,14 +227,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     q = cells.select("token", "node", "n", "place", F.col("grp").alias("own"))
     met = q.join(matrix, "token").where("own > grp").where((F.lit(100) * F.col("most") >= F.lit(similar) * F.col("n")) & (F.lit(100) * F.col("n") >= F.lit(similar) * F.col("least")))
-    # members hold no token of the node's up to their last that the group lacks
-    hits = met.groupBy("node", "grp").agg(F.first("n").alias("n"), F.min("least").alias("least"), F.count("*").alias("c"), F.coalesce(F.max(F.when(F.col("token") <= F.col("least_last"), F.col("place"))), F.lit(0)).alias("i"))
-    opened = hits.where(possible(F.col("c") + F.col("n") - F.col("i"), F.col("n"), F.greatest(F.col("least"), F.ceil(F.col("n") * similar / 100)))).select("node", "grp")
+    # the members of a group hold no token, up to the least of their last ones, that the group lacks
+    upto = F.coalesce(F.max(F.when(F.col("token") <= F.col("least_last"), F.col("place"))), F.lit(0))
+    hits = met.groupBy("node", "grp").agg(F.first("n").alias("n"), F.min("least").alias("least"), F.count("*").alias("c"), F.when(F.first("single"), F.least(F.first("n") - F.max("place"), F.min("room"))).otherwise(F.first("n") - upto).alias("rest"))
+    opened = hits.where(possible(F.col("c") + F.col("rest"), F.col("n"), F.greatest(F.col("least"), F.ceil(F.col("n") * similar / 100)))).select("node", "grp")
     member = cells.select("token", "grp", F.col("node").alias("v"), F.col("n").alias("m"), F.col("place").alias("j"))
     shared_tokens = q.join(opened, "node").join(member, ["token", "grp"]).where(fits(F.col("n"), F.col("m")))
     pairs = shared_tokens.groupBy("node", "v").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.count("*").alias("c"), F.max("place").alias("i"), F.max("j").alias("j"))
     pairs = pairs.where(possible(F.col("c") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")), F.col("n"), F.col("m")))
-    more = verified(checkpoint(pairs.select(F.col("node").alias("u"), "v")), packed, words, similar)
+    more = verified(checkpoint(pairs.select(F.col("node").alias("u"), "v")), nodes, packed, words, similar)
     components = connected_components(links.unionByName(more))
 
     known = nodes.select("node", "doc_id").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
