@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -153,6 +154,7 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, words: int, similar: int) -
     """key, token, node, n, place (from 1), last (token of the prefix), kind: the prefix of every set in the order that has frequent tokens last.
 
     kind 0: dealt by its token. 1: its token is shared within the slice, dealt at random. 2: the witness of such a token.
+    The token is given where it is not the key.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +188,9 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, words: int, similar: int) -
                 w = first[times > 1]
                 columns = [np.concatenate([x, x[w]]) for x in (key, token, node, n, place, last, kind)]
                 columns[0][len(token) :], columns[6][len(token) :] = token[w], 2
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["key", "token", "node", "n", "place", "last", "kind"])
+                columns = list(map(pa.array, columns))
+                columns[1] = pc.if_else(pc.equal(columns[6], 1), columns[1], None)
+                yield pa.RecordBatch.from_arrays(columns, ["key", "token", "node", "n", "place", "last", "kind"])
 
     return docs.mapInArrow(run, "key long, token long, node long, n int, place int, last long, kind byte")
 
@@ -214,7 +218,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the matrix: prefix tokens of more than one node, then of more than one group
     key, in_order = W.partitionBy("key"), W.partitionBy("key").orderBy("node")
     prefixes = _prefixes(docs, frequent, words, similar).withColumns({"before": F.lag("node").over(in_order), "lo": F.min("node").over(key), "hi": F.max("node").over(key)})
-    shared = prefixes.where("kind < 2 AND (kind = 1 OR lo < hi) AND NOT node <=> before").select("token", "node", "n", "place", "last")
+    shared = prefixes.where("kind < 2 AND (kind = 1 OR lo < hi) AND NOT node <=> before").select(F.coalesce("token", "key").alias("token"), "node", "n", "place", "last")
     grouped = shared.join(groups, "node", "left").withColumn("grp", F.coalesce("grp", "node"))
     several = grouped.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
     cells = checkpoint(grouped.join(several, "token", "left_semi"))

@@ -11,7 +11,9 @@ one text only are dropped. The windows around an anchor that select it make one
 words; equal passages are one row with their least document. Passages with the same anchor go to the
 same shard, which builds an automaton of them and streams them through it; shards are worked through in
 chunks of a bounded number of words. Anchors in more than ``HOT`` texts go by single windows, dealt by
-the window's hash, so that a passage in a third of all documents burdens no shard.
+the window's hash, so that a passage in a third of all documents burdens no shard. Anchors that texts
+of one slice share are known to be shared at once: their rows are dealt at random, and one witness of
+them by the anchor.
 
 Copies of a whole text take no part: all their windows occur in the first copy.
 """
@@ -22,12 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import slices, text_or_empty
+from inkwell.llm.common import slices, text_or_empty, written
 from inkwell.llm.words import mix, shingle_hashes, word_hashes
 
 WINDOW, GRAM = 13, 5
@@ -136,54 +140,69 @@ def _hash(data: bytes) -> int:
     return xxhash.xxh3_64_intdigest(data) - (1 << 63)
 
 
-def _anchors(docs: DataFrame, window: int, places: bool) -> DataFrame:
-    """anchor, text_hash and, if asked for, place: of each text once, whatever its copies in the partition."""
+def _hashes(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_hash(t) for t in batch.column("text").cast(pa.binary()).to_pylist()], pa.int64())], ["doc_id", "text_hash"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text_hash long")
+
+
+def _anchors(docs: DataFrame, window: int) -> DataFrame:
+    """key, anchor, text_hash, place, times, kind: the anchors of each text, once whatever its copies in the partition.
+
+    kind 0: dealt by the anchor. 1: shared within the slice, dealt at random. 2: the witness of so many (times) texts.
+    The anchor is given where it is not the key.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for whole in batches:
-            for batch in slices(whole, most=4 << 20):
-                texts = []
-                for t in batch.column("text").cast(pa.binary()).to_pylist():
-                    if (h := _hash(t)) not in seen:
-                        seen.add(h)
-                        texts.append((h, t))
-                a, h, p = [], [], []
-                for (k, _), words in zip(texts, word_hashes([t for _, t in texts]), strict=True):
-                    anchor, place, _, _ = anchors(words, window)
-                    if not places:
-                        anchor = np.unique(anchor)
-                    a.append(anchor)
-                    h.append(np.full(len(anchor), k))
-                    p.append(place.astype(np.int32))
-                if a:
-                    columns = [a, h, p] if places else [a, h]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], ["anchor", "text_hash", "place"][: len(columns)])
-
-    return docs.mapInArrow(run, "anchor long, text_hash long" + ", place int" * places)
-
-
-def _passages(texts: DataFrame, window: int) -> DataFrame:
-    """route, id1, id2, passage, doc_id, text_hash, start: the passages around the anchors in ``cold`` and ``hot`` of each text."""
+            for batch in slices(whole):
+                texts = {h: t for t in batch.column("text").cast(pa.binary()).to_pylist() if (h := _hash(t)) not in seen}
+                seen |= texts.keys()
+                found = [anchors(w, window)[:2] for w in word_hashes(list(texts.values()))]
+                if not found:
+                    continue
+                anchor, place = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+                text = np.repeat(np.array(list(texts), dtype=np.int64), [len(f[0]) for f in found])
+                if not len(anchor):
+                    continue
+                _, back = np.unique(anchor, return_inverse=True)
+                # texts an anchor is in: its distinct (anchor, text) pairs
+                order = np.lexsort((text, back))
+                first = np.ones(len(order), dtype=bool)
+                first[1:] = (back[order][1:] != back[order][:-1]) | (text[order][1:] != text[order][:-1])
+                times = np.bincount(back[order][first], minlength=int(back.max()) + 1)
+                shared = times[back] > 1
+                key = np.where(shared, mix(anchor.view(np.uint64) ^ mix(text.view(np.uint64))).view(np.int64), anchor)
+                w = np.unique(np.where(shared, back, -1), return_index=True)[1]
+                w = w[shared[w]]
+                columns = [np.concatenate([x, x[w]]) for x in (key, anchor, text, place.astype(np.int32), np.where(shared, 0, 1).astype(np.int32), shared.astype(np.int8))]
+                columns[0][len(anchor) :], columns[4][len(anchor) :], columns[5][len(anchor) :] = anchor[w], times[back[w]], 2
+                columns = list(map(pa.array, columns))
+                columns[1] = pc.if_else(pc.equal(columns[5], 1), columns[1], None)
+                yield pa.RecordBatch.from_arrays(columns, ["key", "anchor", "text_hash", "place", "times", "kind"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "key long, anchor long, text_hash long, place int, times int, kind byte")
+
+
+def _passages(texts: DataFrame, window: int, occurrences: bool) -> DataFrame:
+    """The passages around the anchors at the places in ``cold``, and single windows of those in ``hot``.
+
+    Either route, id1, id2, passage and the least doc_id, equal ones of a slice as one; or all occurrences: id1, id2, text_hash, doc_id, start.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
         for whole in batches:
             for batch in slices(whole, "packed", 1 << 20):
-                route, id1, id2, passage, doc, text_hash, start = [], [], [], [], [], [], []
-
-                def put(key: int | None, words: list[bytes], at: int, d: int, route=route, id1=id1, id2=id2, passage=passage, doc=doc, start=start) -> None:
-                    data = b" ".join(words)
-                    x = xxhash.xxh3_128_intdigest(data)
-                    id1.append((x >> 64) - (1 << 63))
-                    id2.append((x & (1 << 64) - 1) - (1 << 63))
-                    route.append(id1[-1] if key is None else key)
-                    passage.append(data)
-                    doc.append(d)
-                    start.append(at)
-
+                least: dict[tuple[int | None, bytes], int] = {}
+                found: list[tuple[bytes, int, int, int]] = []
                 for d, h, packed, cold, hot in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "packed", "cold", "hot")), strict=True):
-                    had = len(doc)
                     text = unzip.decompress(packed)
                     words = text.split()
                     anchor, place, first, last = anchors(word_hashes([text])[0], window)
@@ -192,15 +211,23 @@ def _passages(texts: DataFrame, window: int) -> DataFrame:
                             continue
                         for k in np.flatnonzero(np.isin(place, which)).tolist():
                             lo, hi = int(first[k]), int(last[k])
-                            if single:
-                                for s in range(lo, hi + 1):
-                                    put(None, words[s : s + window], s, d)
-                            else:
-                                put(int(anchor[k]), words[lo : hi + window], lo, d)
-                    text_hash += [h] * (len(doc) - had)
-                yield pa.RecordBatch.from_arrays([pa.array(route, pa.int64()), pa.array(id1, pa.int64()), pa.array(id2, pa.int64()), pa.array(passage, pa.binary()), pa.array(doc, pa.int64()), pa.array(text_hash, pa.int64()), pa.array(start, pa.int32())], ["route", "id1", "id2", "passage", "doc_id", "text_hash", "start"])
-
-    return texts.select("doc_id", "text_hash", "packed", "cold", "hot").mapInArrow(run, "route long, id1 long, id2 long, passage binary, doc_id long, text_hash long, start int")
+                            for s, e in ((s, s + window) for s in range(lo, hi + 1)) if single else ((lo, hi + window),):
+                                data = b" ".join(words[s:e])
+                                if occurrences:
+                                    found.append((data, h, d, s))
+                                else:
+                                    key = (None if single else int(anchor[k]), data)
+                                    least[key] = min(d, least.get(key, d))
+                ids = [xxhash.xxh3_128_intdigest(x[0] if occurrences else x[1]) for x in (found if occurrences else least)]
+                id1, id2 = [(x >> 64) - (1 << 63) for x in ids], [(x & (1 << 64) - 1) - (1 << 63) for x in ids]
+                if occurrences:
+                    columns = [id1, id2, *([x[i] for x in found] for i in (1, 2, 3))]
+                else:
+                    columns = [[i if k[0] is None else k[0] for i, k in zip(id1, least, strict=True)], id1, id2, [k[1] for k in least], list(least.values())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if occurrences and i == 4 else pa.binary() if not occurrences and i == 3 else pa.int64()) for i, c in enumerate(columns)], list(map(str, range(5))))
+
+    schema = "id1 long, id2 long, text_hash long, doc_id long, start int" if occurrences else "route long, id1 long, id2 long, passage binary, doc_id long"
+    return texts.select("doc_id", "text_hash", "packed", "extra", "cold", "hot").mapInArrow(run, schema)
 
 
 def _shards(passages: DataFrame, window: int) -> DataFrame:
@@ -243,24 +270,29 @@ def _shards(passages: DataFrame, window: int) -> DataFrame:
         if groups:
             yield out()
 
-    once = passages.groupBy("route", "id1", "id2").agg(F.first("passage").alias("passage"), F.min("doc_id").alias("least"))
-    dealt = once.repartition(F.col("route")).sortWithinPartitions("route")
+    once = passages.repartition(F.col("route")).groupBy("route", "id1", "id2").agg(F.first("passage").alias("passage"), F.min("doc_id").alias("least"))
+    dealt = once.sortWithinPartitions("route")
     return dealt.select("route", "id1", "id2", "passage", "least").mapInArrow(run, "id1 long, id2 long, least array<long>")
 
 
 def removed_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """The rows with their texts (doc_id, text_hash, packed, is_first of its copies), and the windows that go of first copies (doc_id, text_hash, windows)."""
-    texts = _texts(docs)
-    firsts = texts.select("doc_id", "text_hash").groupBy("text_hash").agg(F.min("doc_id").alias("first"))
-    several = _anchors(docs, window, False).groupBy("anchor").agg(F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi"), F.count("*").alias("texts")).where("lo < hi").select("anchor", (F.col("texts") > HOT).alias("is_hot"))
-    found = _anchors(docs, window, True).join(several, "anchor").distinct()
-    places = found.groupBy("text_hash").agg(F.collect_list(F.when(~F.col("is_hot"), F.col("place"))).alias("cold"), F.collect_list(F.when(F.col("is_hot"), F.col("place"))).alias("hot"))
-    rows = texts.join(firsts, "text_hash").withColumn("is_first", F.col("doc_id") == F.col("first"))
-    passages = _passages(rows.where("is_first").select("doc_id", "text_hash", "packed").dropDuplicates(["text_hash"]).join(places, "text_hash"), window)
-    least = _shards(passages, window)
-    gone = passages.select("id1", "id2", "text_hash", "doc_id", "start").join(least, ["id1", "id2"])
-    starts = gone.select("doc_id", "text_hash", F.filter(F.transform("least", lambda d, i: F.when(d < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull()).alias("s")).where(F.size("s") > 0)
-    windows = starts.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("s")).alias("windows"))
+    """The rows with their texts (doc_id, text_hash, packed, is_first of its copies), and the windows that go of first copies (text_hash, windows)."""
+    rows = _texts(docs).join(_hashes(docs).groupBy("text_hash").agg(F.min("doc_id").alias("first")), "text_hash")
+    # said in a way that is not taken for a key of the join, so that the texts are dealt by their hash alone, once
+    rows = rows.withColumn("is_first", F.coalesce(F.col("doc_id") <= F.col("first"), F.lit(False)))
+    key = W.partitionBy("key")
+    dealt = _anchors(docs, window).withColumns({"lo": F.min("text_hash").over(key), "hi": F.max("text_hash").over(key), "texts": F.sum("times").over(key)})
+    shared = dealt.where("kind > 0 OR lo < hi").select(F.coalesce("anchor", "key").alias("anchor"), "text_hash", "place", "kind", (F.col("texts") > HOT).alias("many"))
+    shared = written(shared)
+    hot = shared.where("kind <> 1 AND many").select("anchor").distinct().withColumn("is_hot", F.lit(True))
+    found = shared.where("kind < 2").select("anchor", "text_hash", "place").join(hot, "anchor", "left")
+    places = found.groupBy("text_hash").agg(F.collect_set(F.when(F.col("is_hot").isNull(), F.col("place"))).alias("cold"), F.collect_set(F.when(F.col("is_hot"), F.col("place"))).alias("hot"))
+    # the same columns as in the result, so that one shuffle of the texts serves both
+    around = rows.where("is_first").join(places, "text_hash")
+    least = _shards(_passages(around, window, False), window)
+    gone = _passages(around, window, True).join(least, ["id1", "id2"])
+    starts = gone.select("text_hash", F.filter(F.transform("least", lambda d, i: F.when(d < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull()).alias("s")).where(F.size("s") > 0)
+    windows = starts.groupBy("text_hash").agg(F.flatten(F.collect_list("s")).alias("windows"))
     return rows, windows
 
 
@@ -296,7 +328,7 @@ def keep_words(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = (
                     n_removed.append(n - len(kept))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), batch.column("extra")], ["doc_id", "text", "n_words", "n_removed", "extra"])
 
-    joined = rows.join(windows, ["doc_id", "text_hash"], "left").select("doc_id", "packed", "is_first", "windows", "extra")
+    joined = rows.join(windows, "text_hash", "left").select("doc_id", "packed", "is_first", "windows", "extra")
     named = joined.mapInArrow(run, f"doc_id long, text string, n_words long, n_removed long, extra {docs.schema['extra'].dataType.simpleString()}")
     words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
     nameless = docs.where("doc_id IS NULL").select("doc_id", F.array_join(words, " ").alias("text"), F.size(words).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), "extra")
