@@ -38,17 +38,22 @@ def scores(df: DataFrame, p: Profile, version: int = 1, id_col: str = "doc_id")
     return rows.select("row_no", "letters", *[occurrences(F.col("w"), ws).alias(d) for d, ws in by_dim(p, version).items()])
 
 
+def _holding(parts: Column, wanted: list[str]) -> Column:
+    """How many of the token arrays hold a word of a list."""
+    return F.size(F.filter(parts, lambda x: F.exists(x, lambda w: w.isin(*wanted)))).cast("long")
+
+
 def wide(df: DataFrame, p: Profile, version: int = 2, id_col: str = "doc_id") -> DataFrame:
-    """34 columns per row: letters, words and sentences; of each dimension hits, density, share of sentences, share of hits, the cautious hits and their density; and the share of certain among certain and vague."""
+    """34 columns per row: letters, words and sentences; of each dimension hits, density, share of sentences, share of hits, the cautious hits and their density; and the share of certain among certain and vague hits."""
     t = mask(text(), p)
     lists = by_dim(p, version)
     listed = [w for ws in lists.values() for w in ws]
     rows = df.select(F.col(id_col).alias("row_no"), letters(text(), p).alias("letters"), tokens(t, p).alias("w"), F.transform(sentences(t, p), lambda s: tokens(s, p)).alias("s"))
     rows = rows.withColumn("all_hits", occurrences(F.col("w"), listed))
     for d, ws in lists.items():
-        rows = rows.withColumns({d: occurrences(F.col("w"), ws), f"{d}_in": F.size(F.filter("s", lambda x, ws=ws: F.exists(x, lambda w: w.isin(*ws)))).cast("long"), f"{d}_cautious": cautious(F.col("w"), ws, p)})
+        rows = rows.withColumns({d: occurrences(F.col("w"), ws), f"{d}_in": _holding(F.col("s"), ws), f"{d}_cautious": cautious(F.col("w"), ws, p)})
     per_dim = [x for d in lists for x in (F.col(d), per_thousand(F.col(d), F.col("letters")).alias(f"{d}_density"), ratio(F.col(f"{d}_in"), F.size("s")).alias(f"{d}_sentences"), ratio(F.col(d), F.col("all_hits")).alias(f"{d}_share"), F.col(f"{d}_cautious"), per_thousand(F.col(f"{d}_cautious"), F.col("letters")).alias(f"{d}_cautious_density"))]
-    return rows.select("row_no", "letters", F.size("s").cast("long").alias("n_sentences"), *per_dim, ratio(F.col("certainty"), F.col("certainty") + F.col("vagueness")).alias("certainty_share"))
+    return rows.select("row_no", "letters", F.size("s").cast("long").alias("n_sentences"), *per_dim, ratio(F.col("certainty"), F.col("certainty") + F.col("vagueness")).alias("certain_of_both"))
 
 
 def hit_places(df: DataFrame, p: Profile, version: int = 1, id_col: str = "doc_id") -> DataFrame:
