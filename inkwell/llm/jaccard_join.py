@@ -17,9 +17,9 @@ after the groups are known. Tokens that several nodes of a slice share are known
 and then: their rows are dealt at random, and only one witness of them goes by the token, so that no
 partition gets the rows of a frequent token.
 
-Bound: if a node has i tokens up to its last match with the group and c of them match, no member has
-more than c + (n - i) in common with it, nor more than c and what the member has behind that match.
-Groups that fall short are not opened; in an opened group the same bound holds for each member, with
+Bound: if a node's last token in common with a member, within the prefixes, is its i-th, and c of the
+first i are in the group, the two have no more in common than c and what the shorter one has behind.
+Groups whose greatest bound over the matches falls short are not opened; in an opened group the same bound holds for each member, with
 the tokens shared with that member. What remains is verified on the texts.
 
 Links between groups and within them give the components, by large and small stars.
@@ -27,18 +27,18 @@ Links between groups and within them give the components, by large and small sta
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import checkpoint, slices, text_or_empty
+from inkwell.llm.common import checkpoint, slices, text_or_empty, written
 from inkwell.llm.components import connected_components
 from inkwell.llm.words import LOWER, mix, shingle_hashes, word_hashes
 
@@ -49,6 +49,8 @@ SIMILAR = 75
 ROUNDS = 4
 #: Frequent tokens that are put last in the order, at most; a slice reports those in more than one of so many of its documents.
 FREQUENT, SHARE = 65_536, 400
+#: Size of the filter that goes to the scan of the texts: 8 MB.
+FILTER_BITS = 1 << 26
 _SALTS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], dtype=np.uint64)
 
 
@@ -105,26 +107,59 @@ def _profile(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, _BASE)
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """text_hash, packed: every text, compressed; of copies in a partition one."""
+def _filter(hashes: DataFrame) -> np.ndarray:
+    """A bit for the low bits of each hash, in a table of ``FILTER_BITS``: of fixed size, whatever the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zip_ = zstandard.ZstdCompressor(level=1)
+        bits = np.zeros(FILTER_BITS >> 3, dtype=np.uint8)
+        for batch in batches:
+            _mark(bits, batch.column("text_hash").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)])], ["bits"])
+
+    out = np.zeros(FILTER_BITS >> 3, dtype=np.uint8)
+    for row in hashes.select("text_hash").coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
+        out |= np.frombuffer(zlib.decompress(row["bits"]), dtype=np.uint8)
+    return out
+
+
+def _mark(bits: np.ndarray, hashes: np.ndarray) -> None:
+    at = hashes & (FILTER_BITS - 1)
+    np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+
+def _packed(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """text_hash, packed: the texts whose hash may be wanted, compressed; of copies in a partition one."""
+    spread = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zip_, bits = zstandard.ZstdCompressor(level=3), spread.value
         seen: set[int] = set()
         for whole in batches:
             for batch in slices(whole):
-                found = {h: t for t in batch.column("text").cast(pa.binary()).to_pylist() if (h := _hash(t)) not in seen}
-                seen |= found.keys()
+                found = {}
+                for t in batch.column("text").cast(pa.binary()).to_pylist():
+                    h = _hash(t)
+                    at = h & (FILTER_BITS - 1)
+                    if bits[at >> 3] >> (at & 7) & 1 and h not in seen:
+                        seen.add(h)
+                        found[h] = t
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([zip_.compress(t) for t in found.values()], pa.binary())], ["text_hash", "packed"])
 
     return docs.mapInArrow(run, "text_hash long, packed binary")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, packed: DataFrame, words: int, similar: int) -> DataFrame:
-    """The pairs (u, v) of nodes whose texts' sets are similar enough; ``nodes`` has a text_hash of each node."""
-    wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct().join(nodes.select("node", "text_hash"), "node")
-    texts = checkpoint(packed.join(wanted, "text_hash").dropDuplicates(["node"]).select("node", "packed"))
-    both = pairs.join(texts.select(F.col("node").alias("v"), F.col("packed").alias("b")), "v").join(texts.select(F.col("node").alias("u"), F.col("packed").alias("a")), "u")
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similar: int) -> DataFrame:
+    """The pairs (u, v) of nodes whose texts' sets are similar enough; ``nodes`` has a text_hash of each node.
+
+    Texts that no pair needs stay where they are: a filter of fixed size, in which every hash that is
+    wanted has its bit, goes to the scan. Where it is full it lets all texts pass, and the join decides.
+    """
+    for end in ("u", "v"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("text_hash").alias(f"{end}_text")), end)
+    pairs = checkpoint(pairs)
+    wanted = pairs.select(F.col("u_text").alias("text_hash")).unionByName(pairs.select(F.col("v_text").alias("text_hash"))).distinct()
+    texts = _packed(docs, _filter(wanted)).dropDuplicates(["text_hash"])
+    both = pairs.join(texts.select(F.col("text_hash").alias("v_text"), F.col("packed").alias("b")), "v_text").join(texts.select(F.col("text_hash").alias("u_text"), F.col("packed").alias("a")), "u_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
@@ -151,10 +186,11 @@ def verified(pairs: DataFrame, nodes: DataFrame, packed: DataFrame, words: int,
 
 
 def _prefixes(docs: DataFrame, frequent: np.ndarray, words: int, similar: int) -> DataFrame:
-    """key, token, node, n, place (from 1), last (token of the prefix), kind: the prefix of every set in the order that has frequent tokens last.
+    """key, token, node, at: the prefix of every set in the order that has frequent tokens last.
 
-    kind 0: dealt by its token. 1: its token is shared within the slice, dealt at random. 2: the witness of such a token.
-    The token is given where it is not the key.
+    ``at`` has the set's size in its upper half and the place (from 1) in its lower. The key is the token
+    and the token null, but for tokens that are shared within the slice: these rows have a random key,
+    and one witness of them, whose ``at`` is -1, has the token as its key.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,21 +214,17 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, words: int, similar: int) -
                 count = np.array([len(r[0]) for r in rows])
                 token = np.concatenate([r[0] for r in rows])
                 node = np.repeat(np.array([r[1] for r in rows], dtype=np.int64), count)
-                n = np.repeat(np.array([r[2] for r in rows], dtype=np.int32), count)
-                place = (np.arange(len(token)) - np.repeat(np.cumsum(count) - count, count) + 1).astype(np.int32)
-                last = np.repeat(np.array([r[0][-1] for r in rows]), count)
+                size = np.repeat(np.array([r[2] for r in rows], dtype=np.int64), count)
+                place = np.arange(len(token)) - np.repeat(np.cumsum(count) - count, count) + 1
                 _, first, back, times = np.unique(token, return_index=True, return_inverse=True, return_counts=True)
                 shared = times[back] > 1
-                kind = shared.astype(np.int8)
                 key = np.where(shared, mix(token.view(np.uint64) ^ mix(node.view(np.uint64))).view(np.int64), token)
                 w = first[times > 1]
-                columns = [np.concatenate([x, x[w]]) for x in (key, token, node, n, place, last, kind)]
-                columns[0][len(token) :], columns[6][len(token) :] = token[w], 2
-                columns = list(map(pa.array, columns))
-                columns[1] = pc.if_else(pc.equal(columns[6], 1), columns[1], None)
-                yield pa.RecordBatch.from_arrays(columns, ["key", "token", "node", "n", "place", "last", "kind"])
+                columns = [np.concatenate(x) for x in ((key, token[w]), (token, token[w]), (node, node[w]), (size << 32 | place, np.full(len(w), -1)))]
+                given = np.concatenate([~shared, np.ones(len(w), dtype=bool)])
+                yield pa.RecordBatch.from_arrays([pa.array(x, mask=given if k == 1 else None) for k, x in enumerate(columns)], ["key", "token", "node", "at"])
 
-    return docs.mapInArrow(run, "key long, token long, node long, n int, place int, last long, kind byte")
+    return docs.mapInArrow(run, "key long, token long, node long, at long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
@@ -202,7 +234,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows that repeat an id each have the component of their own text; a null id is never a component's.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    profile = checkpoint(_profile(docs, words))
+    profile = written(_profile(docs, words))
     rows = profile.where("node IS NOT NULL").select("doc_id", "text_hash", "node", "n", "minima")
     common = profile.where("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(FREQUENT).select("token").toPandas()
     frequent = np.sort(common["token"].to_numpy(dtype=np.int64))
@@ -211,19 +243,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leaders = by_hash.groupBy("round", "hash").agg(F.min(F.struct("node", "n")).alias("leader"), F.count("*").alias("members")).where("members > 1")
     fits = lambda a, b: (F.lit(100) * a >= F.lit(similar) * b) & (F.lit(100) * b >= F.lit(similar) * a)
     led = by_hash.join(leaders, ["round", "hash"]).where(F.col("node") != F.col("leader.node")).where(fits(F.col("n"), F.col("leader.n")))
-    packed = _packed(docs)
-    links = checkpoint(verified(checkpoint(led.select(F.col("node").alias("u"), F.col("leader.node").alias("v")).distinct()), nodes, packed, words, similar))
+    links = checkpoint(verified(checkpoint(led.select(F.col("node").alias("u"), F.col("leader.node").alias("v")).distinct()), nodes, docs, words, similar))
     groups = connected_components(links).withColumnRenamed("component", "grp")
 
     # the matrix: prefix tokens of more than one node, then of more than one group
     key, in_order = W.partitionBy("key"), W.partitionBy("key").orderBy("node")
     prefixes = _prefixes(docs, frequent, words, similar).withColumns({"before": F.lag("node").over(in_order), "lo": F.min("node").over(key), "hi": F.max("node").over(key)})
-    shared = prefixes.where("kind < 2 AND (kind = 1 OR lo < hi) AND NOT node <=> before").select(F.coalesce("token", "key").alias("token"), "node", "n", "place", "last")
-    grouped = shared.join(groups, "node", "left").withColumn("grp", F.coalesce("grp", "node"))
+    shared = prefixes.where("at >= 0 AND (token IS NOT NULL OR lo < hi) AND NOT node <=> before")
+    shared = shared.select(F.coalesce("token", "key").alias("token"), "node", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("place"))
+    grouped = written(shared.join(groups, "node", "left").withColumn("grp", F.coalesce("grp", "node")))
     several = grouped.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
-    cells = checkpoint(grouped.join(several, "token", "left_semi"))
-    sizes = cells.groupBy("grp").agg(F.min("last").alias("least_last"), F.min("node").alias("a"), F.max("node").alias("b")).select("grp", "least_last", (F.col("a") == F.col("b")).alias("single"))
-    matrix = cells.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("place")).alias("room")).join(sizes, "grp")
+    cells = written(grouped.join(several, "token", "left_semi"))
+    matrix = cells.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("place")).alias("room"))
 
     def possible(common, n, m):
         """Whether sets of n and m members with at most so many in common can be similar enough."""
@@ -231,15 +262,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     q = cells.select("token", "node", "n", "place", F.col("grp").alias("own"))
     met = q.join(matrix, "token").where("own > grp").where((F.lit(100) * F.col("most") >= F.lit(similar) * F.col("n")) & (F.lit(100) * F.col("n") >= F.lit(similar) * F.col("least")))
-    # the members of a group hold no token, up to the least of their last ones, that the group lacks
-    upto = F.coalesce(F.max(F.when(F.col("token") <= F.col("least_last"), F.col("place"))), F.lit(0))
-    hits = met.groupBy("node", "grp").agg(F.first("n").alias("n"), F.min("least").alias("least"), F.count("*").alias("c"), F.when(F.first("single"), F.least(F.first("n") - F.max("place"), F.min("room"))).otherwise(F.first("n") - upto).alias("rest"))
-    opened = hits.where(possible(F.col("c") + F.col("rest"), F.col("n"), F.greatest(F.col("least"), F.ceil(F.col("n") * similar / 100)))).select("node", "grp")
+    # a member whose last match is this one has no more in common than the matches so far and what either has behind it
+    met = met.withColumn("c", F.row_number().over(W.partitionBy("node", "grp").orderBy("place")))
+    hits = met.groupBy("node", "grp").agg(F.first("n").alias("n"), F.min("least").alias("least"), F.max(F.col("c") + F.least(F.col("n") - F.col("place"), F.col("room"))).alias("common"))
+    opened = hits.where(possible(F.col("common"), F.col("n"), F.greatest(F.col("least"), F.ceil(F.col("n") * similar / 100)))).select("node", "grp")
     member = cells.select("token", "grp", F.col("node").alias("v"), F.col("n").alias("m"), F.col("place").alias("j"))
     shared_tokens = q.join(opened, "node").join(member, ["token", "grp"]).where(fits(F.col("n"), F.col("m")))
     pairs = shared_tokens.groupBy("node", "v").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.count("*").alias("c"), F.max("place").alias("i"), F.max("j").alias("j"))
     pairs = pairs.where(possible(F.col("c") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")), F.col("n"), F.col("m")))
-    more = verified(checkpoint(pairs.select(F.col("node").alias("u"), "v")), nodes, packed, words, similar)
+    more = verified(checkpoint(pairs.select(F.col("node").alias("u"), "v")), nodes, docs, words, similar)
     components = connected_components(links.unionByName(more))
 
     known = nodes.select("node", "doc_id").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
