@@ -24,7 +24,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -152,10 +151,11 @@ def _hashes(docs: DataFrame) -> DataFrame:
 
 
 def _anchors(docs: DataFrame, window: int) -> DataFrame:
-    """key, anchor, text_hash, place, times, kind: the anchors of each text, once whatever its copies in the partition.
+    """key, anchor, text_hash, place: the anchors of each text, once whatever its copies in the partition.
 
-    kind 0: dealt by the anchor. 1: shared within the slice, dealt at random. 2: the witness of so many (times) texts.
-    The anchor is given where it is not the key.
+    The key is the anchor and the anchor null, but for anchors that texts of a slice share: these rows
+    have a random key, and one witness of them has the anchor as its key, and as its place the number of
+    those texts, below zero.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,13 +181,11 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
                 key = np.where(shared, mix(anchor.view(np.uint64) ^ mix(text.view(np.uint64))).view(np.int64), anchor)
                 w = np.unique(np.where(shared, back, -1), return_index=True)[1]
                 w = w[shared[w]]
-                columns = [np.concatenate([x, x[w]]) for x in (key, anchor, text, place.astype(np.int32), np.where(shared, 0, 1).astype(np.int32), shared.astype(np.int8))]
-                columns[0][len(anchor) :], columns[4][len(anchor) :], columns[5][len(anchor) :] = anchor[w], times[back[w]], 2
-                columns = list(map(pa.array, columns))
-                columns[1] = pc.if_else(pc.equal(columns[5], 1), columns[1], None)
-                yield pa.RecordBatch.from_arrays(columns, ["key", "anchor", "text_hash", "place", "times", "kind"])
+                columns = [np.concatenate(x) for x in ((key, anchor[w]), (anchor, anchor[w]), (text, text[w]), (place, -times[back[w]]))]
+                given = np.concatenate([~shared, np.ones(len(w), dtype=bool)])
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32) if k == 3 else x, mask=given if k == 1 else None) for k, x in enumerate(columns)], ["key", "anchor", "text_hash", "place"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, anchor long, text_hash long, place int, times int, kind byte")
+    return docs.select("doc_id", "text").mapInArrow(run, "key long, anchor long, text_hash long, place int")
 
 
 def _passages(texts: DataFrame, window: int, occurrences: bool) -> DataFrame:
@@ -281,11 +279,10 @@ def removed_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, D
     # said in a way that is not taken for a key of the join, so that the texts are dealt by their hash alone, once
     rows = rows.withColumn("is_first", F.coalesce(F.col("doc_id") <= F.col("first"), F.lit(False)))
     key = W.partitionBy("key")
-    dealt = _anchors(docs, window).withColumns({"lo": F.min("text_hash").over(key), "hi": F.max("text_hash").over(key), "texts": F.sum("times").over(key)})
-    shared = dealt.where("kind > 0 OR lo < hi").select(F.coalesce("anchor", "key").alias("anchor"), "text_hash", "place", "kind", (F.col("texts") > HOT).alias("many"))
-    shared = written(shared)
-    hot = shared.where("kind <> 1 AND many").select("anchor").distinct().withColumn("is_hot", F.lit(True))
-    found = shared.where("kind < 2").select("anchor", "text_hash", "place").join(hot, "anchor", "left")
+    dealt = _anchors(docs, window).withColumns({"lo": F.min("text_hash").over(key), "hi": F.max("text_hash").over(key), "texts": F.sum(F.greatest(F.lit(1), -F.col("place"))).over(key)})
+    shared = written(dealt.where("place < 0 OR anchor IS NOT NULL OR lo < hi").select(F.coalesce("anchor", "key").alias("anchor"), "text_hash", "place", (F.col("anchor").isNull() & (F.col("texts") > HOT)).alias("many")))
+    hot = shared.where("many").select("anchor").distinct().withColumn("is_hot", F.lit(True))
+    found = shared.where("place >= 0").select("anchor", "text_hash", "place").join(hot, "anchor", "left")
     places = found.groupBy("text_hash").agg(F.collect_set(F.when(F.col("is_hot").isNull(), F.col("place"))).alias("cold"), F.collect_set(F.when(F.col("is_hot"), F.col("place"))).alias("hot"))
     # the same columns as in the result, so that one shuffle of the texts serves both
     around = rows.where("is_first").join(places, "text_hash")
