@@ -105,9 +105,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
     toxic = _least(known.where(F.col(label) == 1).select(F.col("doc_id").alias("__id")), positive).withColumn("p", F.lit(1))
     other = _least(docs.where(free & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("__id")), unlabelled).withColumn("u", F.lit(1))
     chosen = F.broadcast(toxic.join(other, "__id", "full"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(chosen, F.col("doc_id") == F.col("__id"))
-    # a text that was copied counts once
-    rows = checkpoint(texts.groupBy(F.xxhash64("text").alias("h")).agg(F.max("p").alias("p"), F.max("u").alias("u"), F.first("text").alias("text")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    # a text that was copied counts once; what is kept is a bounded list of ids, and the texts are read again where they are needed
+    once = texts.join(chosen, F.col("doc_id") == F.col("__id")).groupBy(F.xxhash64("text").alias("h")).agg(F.max("p").alias("p"), F.max("u").alias("u"), F.min("doc_id").alias("__id"))
+    once = checkpoint(once.drop("h"))
+    rows = texts.join(F.broadcast(once), F.col("doc_id") == F.col("__id")).select("p", "u", "text")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -120,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
                         c[1] += u or 0
                 yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array([c[0] for c in n.values()], pa.int64()), pa.array([c[1] for c in n.values()], pa.int64())], ["term", "p", "u"])
 
-    total = rows.select(F.sum("p").alias("p"), F.sum("u").alias("u")).first()
+    total = once.select(F.sum("p").alias("p"), F.sum("u").alias("u")).first()
     n_p, n_u = float(total["p"] or 0), float(total["u"] or 0)
     if not n_p or not n_u:
         return Model({}, math.log(prior / (1 - prior)) if n_u else -4.0)
@@ -138,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
                 found = [sorted(number[t] for t in terms(x) if t in number) for x in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("p"), batch.column("u"), pa.array(found, pa.list_(pa.int32()))], ["p", "u", "x"])
 
-    found = rows.select("p", "u", "text").mapInArrow(numbered, "p int, u int, x array<int>").collect()
+    found = rows.mapInArrow(numbered, "p int, u int, x array<int>").collect()
     w, b = fit_nnpu(Sparse([r["x"] for r in found if r["p"]]), Sparse([r["x"] for r in found if r["u"]]), len(names), prior)
     return Model(dict(zip(names, w.tolist(), strict=True)), b)
 
