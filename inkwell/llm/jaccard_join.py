@@ -5,13 +5,13 @@ first step on. Similar nodes are put into groups, the matrix holds which tokens
 and a node is compared with the members of a group only if the group's tokens can hold enough of its
 own.
 
-Groups: nodes that share a min-hash are compared with the least node among them, which gives one pair
-per node and min-hash; verified pairs join nodes into groups. Thousands of near copies become one
+Groups: nodes that share a pair of min-hashes are compared with a few leaders among them, which gives a
+bounded number of comparisons per node; verified links join nodes into groups. Thousands of near copies become one
 group here without being paired with each other, and groups are only ever joined by verified links.
 
 Matrix: in a total order of all tokens, two sets with Jaccard similarity t have a common token among
 their first n - ceil(t n) + 1 (the prefix), so the matrix needs the prefixes alone. The order puts tokens
-that are frequent in many partitions last, so that passages in many documents do not make them
+that are frequent in a sample of the texts last, so that passages in many documents do not make them
 candidates. A token in one node only is dropped in the partition it is dealt to, one in a single group
 after the groups are known. Tokens that several nodes of a slice share are known to be shared there
 and then: their rows are dealt at random, and only one witness of them goes by the token, so that no
@@ -20,7 +20,9 @@ partition gets the rows of a frequent token.
 Bound: if a node's last token in common with a member, within the prefixes, is its i-th, and c of the
 first i are in the group, the two have no more in common than c and what the shorter one has behind.
 Groups whose greatest bound over the matches falls short are not opened; in an opened group the same bound holds for each member, with
-the tokens shared with that member. What remains is verified on the texts.
+the tokens shared with that member. What remains goes through sketches (the parity of the number of
+tokens in each of some classes), which bound the symmetric difference from below, and is verified on
+the texts.
 
 Links between groups and within them give the components, by large and small stars.
 """
@@ -45,10 +47,10 @@ from inkwell.llm.words import LOWER, mix, shingle_hashes, word_hashes
 WORDS = 5
 #: Similarity of a link, in hundredths.
 SIMILAR = 75
-#: Min-hashes by which leaders are found. More of them only save work later.
-ROUNDS = 4
-#: Frequent tokens that are put last in the order, at most; a slice reports those in more than one of so many of its documents.
-FREQUENT, SHARE = 65_536, 400
+#: Min-hashes by which leaders are found, and leaders of a bucket. More of them only save work later.
+ROUNDS, LEADERS = 4, 8
+#: Frequent tokens that are put last in the order, at most (8 MB); one text in so many is looked at for them, and in so many of these a token must be.
+FREQUENT, SAMPLED, OFTEN = 1 << 20, 32, 3
 #: Size of the filter that goes to the scan of the texts: 8 MB.
 FILTER_BITS = 1 << 26
 _SALTS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], dtype=np.uint64)
@@ -67,46 +69,62 @@ def _node(tokens: np.ndarray) -> int:
     return _hash(tokens.tobytes())
 
 
-_BASE = "doc_id long, text_hash long, node long, n long, minima array<long>, token long, times long"
+def _minima(tokens: np.ndarray) -> list[int]:
+    """Hashes of pairs of min-hashes: two sets agree in one with the square of their similarity."""
+    least = np.array([mix(tokens.view(np.uint64) ^ x).min() for x in _SALTS[:ROUNDS]], dtype=np.uint64)
+    return mix(least + np.uint64(3) * np.roll(least, 1)).view(np.int64).tolist()
+
+
+def _sketch(tokens: np.ndarray) -> bytes:
+    """A bit per class of tokens, set if their number is odd, for at least twice as many classes as tokens, a power of two."""
+    bits = 1 << max(7, (2 * len(tokens) - 1).bit_length())
+    return np.packbits(np.bincount(tokens & (bits - 1), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """How many classes two sketches differ in: no more than the tokens that only one of the sets has."""
+    x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+_BASE = "doc_id long, text_hash long, node long, n long, minima array<long>, sketch binary"
 
 
 def _profile(docs: DataFrame, words: int) -> DataFrame:
-    """For each document its node (the set's hash), set size and min-hashes; besides, rows with token and times for what is frequent in a slice."""
+    """For each document the hash of its text, its node (the set's hash), set size, min-hashes and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for whole in batches:
             for batch in slices(whole):
                 texts = batch.column("text").cast(pa.binary()).to_pylist()
                 sets = shingle_sets(texts, words)
-                nodes, minima, new = [], [], []
-                for s in sets:
-                    nodes.append(_node(s))
-                    minima.append([int(mix(s.view(np.uint64) ^ x).min() >> np.uint64(1)) for x in _SALTS[:ROUNDS]] if len(s) else [])
-                    if len(s) and nodes[-1] not in seen:
-                        seen.add(nodes[-1])
-                        new.append(s)
-                k = len(sets)
-                token, times = np.unique(np.concatenate(new), return_counts=True) if new else (np.empty(0, np.int64),) * 2
-                often = times >= max(4, len(new) / SHARE)
-                token, times = token[often], times[often]
-                none = len(token)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.concat_arrays([batch.column("doc_id"), pa.nulls(none, pa.int64())]),
-                        pa.array([_hash(t) for t in texts] + [None] * none, pa.int64()),
-                        pa.array(nodes + [None] * none, pa.int64()),
-                        pa.array([len(s) for s in sets] + [None] * none, pa.int64()),
-                        pa.array(minima + [None] * none, pa.list_(pa.int64())),
-                        pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(token, pa.int64())]),
-                        pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(times, pa.int64())]),
-                    ],
-                    ["doc_id", "text_hash", "node", "n", "minima", "token", "times"],
-                )
+                minima = [_minima(s) if len(s) else [] for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(_hash, texts), pa.int64()), pa.array(map(_node, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(minima, pa.list_(pa.int64())), pa.array([_sketch(s) if len(s) else None for s in sets], pa.binary())], ["doc_id", "text_hash", "node", "n", "minima", "sketch"])
 
     return docs.mapInArrow(run, _BASE)
 
 
+def _frequent(docs: DataFrame, words: int) -> np.ndarray:
+    """The tokens that are most frequent in a sample of the texts, sorted; only the order of tokens depends on them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole):
+                chosen = {h: t for t in batch.column("text").cast(pa.binary()).to_pylist() if (h := _hash(t)) % SAMPLED == 0}
+                sets = [s for s in shingle_sets(list(chosen.values()), words) if len(s)]
+                if sets:
+                    token, times = np.unique(np.concatenate(sets), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(token, pa.int64()), pa.array(times, pa.int64())], ["token", "times"])
+
+    counts = docs.mapInArrow(run, "token long, times long").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= OFTEN)
+    rows = counts.orderBy(F.desc("times"), "token").limit(FREQUENT).select("token").toPandas()
+    return np.sort(rows["token"].to_numpy(dtype=np.int64))
+
+
 def _filter(hashes: DataFrame) -> np.ndarray:
     """A bit for the low bits of each hash, in a table of ``FILTER_BITS``: of fixed size, whatever the input."""
 
@@ -149,14 +167,21 @@ def _packed(docs: DataFrame, bits: np.ndarray) -> DataFrame:
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similar: int) -> DataFrame:
-    """The pairs (u, v) of nodes whose texts' sets are similar enough; ``nodes`` has a text_hash of each node.
+    """The pairs (u, v) of nodes whose texts' sets are similar enough; ``nodes`` has n, sketch and text_hash of each node.
 
-    Texts that no pair needs stay where they are: a filter of fixed size, in which every hash that is
+    Pairs whose sketches differ in more places than sets so similar can are dropped first. Texts that no pair needs stay where they are: a filter of fixed size, in which every hash that is
     wanted has its bit, goes to the scan. Where it is full it lets all texts pass, and the join decides.
     """
     for end in ("u", "v"):
-        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("text_hash").alias(f"{end}_text")), end)
-    pairs = checkpoint(pairs)
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("text_hash").alias(f"{end}_text"), F.col("sketch").alias(f"{end}_sketch"), F.col("n").alias(f"{end}_n")), end)
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("u_sketch", "v_sketch", "u_n", "v_n")), strict=True)
+            keep = [(100 + similar) * differing(a, b) <= (100 - similar) * (n + m) for a, b, n, m in rows]
+            yield batch.select(["u", "v", "u_text", "v_text"]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = checkpoint(pairs.select("u", "v", "u_text", "v_text", "u_sketch", "v_sketch", "u_n", "v_n").mapInArrow(possible, "u long, v long, u_text long, v_text long"))
     wanted = pairs.select(F.col("u_text").alias("text_hash")).unionByName(pairs.select(F.col("v_text").alias("text_hash"))).distinct()
     texts = _packed(docs, _filter(wanted)).dropDuplicates(["text_hash"])
     both = pairs.join(texts.select(F.col("text_hash").alias("v_text"), F.col("packed").alias("b")), "v_text").join(texts.select(F.col("text_hash").alias("u_text"), F.col("packed").alias("a")), "u_text")
@@ -196,7 +221,7 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, words: int, similar: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, most=8 << 20):
                 rows = []
                 for s in shingle_sets(batch.column("text").cast(pa.binary()).to_pylist(), words):
                     k = _node(s)
@@ -234,15 +259,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows that repeat an id each have the component of their own text; a null id is never a component's.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    profile = written(_profile(docs, words))
-    rows = profile.where("node IS NOT NULL").select("doc_id", "text_hash", "node", "n", "minima")
-    common = profile.where("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(FREQUENT).select("token").toPandas()
-    frequent = np.sort(common["token"].to_numpy(dtype=np.int64))
-    nodes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("minima").alias("minima"))
+    rows = written(_profile(docs, words))
+    frequent = _frequent(docs, words)
+    nodes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("minima").alias("minima"), F.first("sketch").alias("sketch"))
     by_hash = nodes.select("node", "n", F.posexplode("minima").alias("round", "hash"))
-    leaders = by_hash.groupBy("round", "hash").agg(F.min(F.struct("node", "n")).alias("leader"), F.count("*").alias("members")).where("members > 1")
+    # a bucket's leaders are the least nodes of its parts, so that few members are like none of them
+    leaders = by_hash.groupBy("round", "hash", F.pmod(F.xxhash64("node"), F.lit(LEADERS)).alias("part")).agg(F.min(F.struct("node", "n")).alias("leader"))
     fits = lambda a, b: (F.lit(100) * a >= F.lit(similar) * b) & (F.lit(100) * b >= F.lit(similar) * a)
-    led = by_hash.join(leaders, ["round", "hash"]).where(F.col("node") != F.col("leader.node")).where(fits(F.col("n"), F.col("leader.n")))
+    led = by_hash.join(leaders, ["round", "hash"]).where(F.col("node") > F.col("leader.node")).where(fits(F.col("n"), F.col("leader.n")))
     links = checkpoint(verified(checkpoint(led.select(F.col("node").alias("u"), F.col("leader.node").alias("v")).distinct()), nodes, docs, words, similar))
     groups = connected_components(links).withColumnRenamed("component", "grp")
 
@@ -254,7 +278,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     grouped = written(shared.join(groups, "node", "left").withColumn("grp", F.coalesce("grp", "node")))
     several = grouped.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
     cells = written(grouped.join(several, "token", "left_semi"))
-    matrix = cells.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("place")).alias("room"))
+    alone = cells.groupBy("grp").agg(F.min("node").alias("member"), F.max("node").alias("other")).select("grp", F.when(F.col("member") == F.col("other"), F.col("member")).alias("only"))
+    matrix = cells.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("place")).alias("room")).join(alone, "grp")
 
     def possible(common, n, m):
         """Whether sets of n and m members with at most so many in common can be similar enough."""
@@ -264,13 +289,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = q.join(matrix, "token").where("own > grp").where((F.lit(100) * F.col("most") >= F.lit(similar) * F.col("n")) & (F.lit(100) * F.col("n") >= F.lit(similar) * F.col("least")))
     # a member whose last match is this one has no more in common than the matches so far and what either has behind it
     met = met.withColumn("c", F.row_number().over(W.partitionBy("node", "grp").orderBy("place")))
-    hits = met.groupBy("node", "grp").agg(F.first("n").alias("n"), F.min("least").alias("least"), F.max(F.col("c") + F.least(F.col("n") - F.col("place"), F.col("room"))).alias("common"))
-    opened = hits.where(possible(F.col("common"), F.col("n"), F.greatest(F.col("least"), F.ceil(F.col("n") * similar / 100)))).select("node", "grp")
+    hits = met.groupBy("node", "grp").agg(F.first("only").alias("only"), F.first("n").alias("n"), F.min("least").alias("least"), F.max(F.col("c") + F.least(F.col("n") - F.col("place"), F.col("room"))).alias("common"))
+    opened = checkpoint(hits.where(possible(F.col("common"), F.col("n"), F.greatest(F.col("least"), F.ceil(F.col("n") * similar / 100)))).select("node", "grp", "only"))
+    # a group of one node is opened by now; of the others the members are compared each for itself
     member = cells.select("token", "grp", F.col("node").alias("v"), F.col("n").alias("m"), F.col("place").alias("j"))
-    shared_tokens = q.join(opened, "node").join(member, ["token", "grp"]).where(fits(F.col("n"), F.col("m")))
+    shared_tokens = q.join(opened.where("only IS NULL"), "node").join(member, ["token", "grp"]).where(fits(F.col("n"), F.col("m")))
     pairs = shared_tokens.groupBy("node", "v").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.count("*").alias("c"), F.max("place").alias("i"), F.max("j").alias("j"))
-    pairs = pairs.where(possible(F.col("c") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")), F.col("n"), F.col("m")))
-    more = verified(checkpoint(pairs.select(F.col("node").alias("u"), "v")), nodes, docs, words, similar)
+    pairs = pairs.where(possible(F.col("c") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")), F.col("n"), F.col("m"))).select(F.col("node").alias("u"), "v")
+    pairs = pairs.unionByName(opened.where("only IS NOT NULL").select(F.col("node").alias("u"), F.col("only").alias("v")))
+    more = verified(pairs, nodes, docs, words, similar)
     components = connected_components(links.unionByName(more))
 
     known = nodes.select("node", "doc_id").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
