@@ -6,13 +6,12 @@ a hash of their document into shards of about ``SHARD`` documents: shards grow i
 and each wastes less than one sequence against packing everything at once. A shard is packed over its
 histogram of lengths.
 
-The reduction is that of Martello and Toth: take the longest open piece j and look for a set of pieces
+The reduction is that of Martello and Toth: for each piece j, longest first, look for a set of pieces
 with j that no other feasible set could beat. Where no piece fits beside j, {j} is fixed. Where a piece
 k fills the sequence exactly, {j, k} dominates (all that could stand beside j fits in k's place). Where
 at most one piece fits beside j, the longest that fits is fixed with it; where at most two fit and one
-piece is as long as the longest pair that fits, that piece; where that pair consists of the longest
-fitting piece and the longest that fits besides, the triple dominates every other one. What no rule
-fixes goes by best fit, longest first, into the fullest open sequence that can take it.
+piece is as long as the longest pair that fits, that piece; where that pair holds the longest piece that
+fits and no pair has a longer second one, the triple dominates every other one. What no rule fixes goes by best fit, longest first, into the fullest open sequence that can take it.
 """
 
 from __future__ import annotations
@@ -138,6 +137,10 @@ class _Open:
         if not self.n[w]:
             self.mask ^= 1 << w
 
+    def put(self, w: int) -> None:
+        self.n[w] += 1
+        self.mask |= 1 << w
+
 
 def _longest_pair(items: _Open, room: int) -> tuple[int, int]:
     """The two pieces with the greatest sum that is at most ``room``, longer first; (0, 0) if none."""
@@ -145,54 +148,56 @@ def _longest_pair(items: _Open, room: int) -> tuple[int, int]:
     while w and 2 * w >= sum(best):
         items.take(w)
         other = items.most(min(room - w, w))
-        items.n[w] += 1
-        items.mask |= 1 << w
+        items.put(w)
         if other and w + other > sum(best):
             best = (w, other)
         w = items.most(w - 1)
     return best
 
 
+def _longest_second(items: _Open, room: int) -> int:
+    """The greatest length that a pair's shorter piece can have within ``room``."""
+    b = items.most(room // 2)
+    while b:
+        above = items.most(room - b)
+        if items.n[b] > 1 or above > b:
+            return b
+        b = items.most(b - 1)
+    return 0
+
+
 def reduce_dominated(counts: np.ndarray, capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
     """The sets of lengths that dominance fixes, with multiplicities, and the counts of what is left."""
-    items, fixed, left = _Open(counts), [], np.zeros(capacity + 1, dtype=np.int64)
-    while items.mask:
-        j = items.mask.bit_length() - 1
-        room, n = capacity - j, items.n[j]
-        k = items.most(room)
-        if not k:
-            chosen, times = (j,), n
-        elif k == room:
-            chosen, times = ((j, k), min(n, items.n[k])) if k != j else ((j, j), n // 2)
-            if not times:
-                chosen, times = (j,), 0
-        else:
-            chosen, times = (j,), 0
-        if not times and k:
+    items, fixed = _Open(counts), []
+    for j in range(capacity, 0, -1):
+        while items.n[j]:
+            # what may stand beside one j: all that is open, longer pieces included
+            room = capacity - j
             items.take(j)
             k = items.most(room)
             low = items.smallest(3)
+            chosen = None
             if not k:
-                chosen, times = (j,), 1
+                chosen = (j,)
+            elif k == room:
+                chosen = (j, k)
             elif len(low) < 2 or low[0] + low[1] > room:
-                chosen, times = (j, k), 1
+                chosen = (j, k)
             elif len(low) < 3 or sum(low) > room:
                 r, s = _longest_pair(items, room)
                 if r + s <= k:
-                    chosen, times = (j, k), 1
-                elif r == k:
-                    # the pair holds the longest piece that fits and, beside it, the longest there is room for
-                    chosen, times = (j, r, s), 1
-            items.n[j] += 1
-            items.mask |= 1 << j
-        if times:
+                    chosen = (j, k)
+                elif r == k and _longest_second(items, room) <= s:
+                    # no pair has a longer first piece, nor a longer second one
+                    chosen = (j, r, s)
+            items.put(j)
+            if chosen is None:
+                break
+            times = min(items.n[w] // chosen.count(w) for w in chosen) if len(chosen) == 1 or k == room else 1
             fixed.append((chosen, times))
             for w in chosen:
                 items.take(w, times)
-        else:
-            left[j] += n
-            items.take(j, n)
-    return fixed, left
+    return fixed, np.asarray(items.n)
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[list[int]]:
