@@ -8,7 +8,7 @@ import corpus_pipeline as cp
 from inkwell.llm import exact_dedup, jaccard_join, packing, substring_dedup
 from inkwell.llm.common import written
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
