@@ -19,10 +19,9 @@ partition gets the rows of a frequent token.
 
 Bound: if a node's last token in common with a member, within the prefixes, is its i-th, and c of the
 first i are in the group, the two have no more in common than c and what the shorter one has behind.
-Groups whose greatest bound over the matches falls short are not opened; in an opened group the same bound holds for each member, with
-the tokens shared with that member. What remains goes through sketches (the parity of the number of
-tokens in each of some classes), which bound the symmetric difference from below, and is verified on
-the texts.
+Groups whose greatest bound over the matches falls short are not opened. In an opened group the node is
+held against each member by sketches (the parity of the number of tokens in each of some classes),
+which bound the symmetric difference from below; what remains is verified on the texts.
 
 Links between groups and within them give the components, by large and small stars.
 """
@@ -166,6 +165,19 @@ def _packed(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "text_hash long, packed binary")
 
 
+def _possible(pairs: DataFrame, similar: int, schema: str) -> DataFrame:
+    """The pairs whose sketches do not differ in more places than sets so similar can."""
+    columns = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("u_sketch", "v_sketch", "u_n", "v_n")), strict=True)
+            keep = [(100 + similar) * differing(a, b) <= (100 - similar) * (n + m) for a, b, n, m in rows]
+            yield batch.select(columns).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select(*columns, "u_sketch", "v_sketch", "u_n", "v_n").mapInArrow(run, schema)
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similar: int) -> DataFrame:
     """The pairs (u, v) of nodes whose texts' sets are similar enough; ``nodes`` has n, sketch and text_hash of each node.
 
@@ -175,13 +187,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, si
     for end in ("u", "v"):
         pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("text_hash").alias(f"{end}_text"), F.col("sketch").alias(f"{end}_sketch"), F.col("n").alias(f"{end}_n")), end)
 
-    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("u_sketch", "v_sketch", "u_n", "v_n")), strict=True)
-            keep = [(100 + similar) * differing(a, b) <= (100 - similar) * (n + m) for a, b, n, m in rows]
-            yield batch.select(["u", "v", "u_text", "v_text"]).filter(pa.array(keep, pa.bool_()))
-
-    pairs = checkpoint(pairs.select("u", "v", "u_text", "v_text", "u_sketch", "v_sketch", "u_n", "v_n").mapInArrow(possible, "u long, v long, u_text long, v_text long"))
+    pairs = checkpoint(_possible(pairs, similar, "u long, v long, u_text long, v_text long"))
     wanted = pairs.select(F.col("u_text").alias("text_hash")).unionByName(pairs.select(F.col("v_text").alias("text_hash"))).distinct()
     texts = _packed(docs, _filter(wanted)).dropDuplicates(["text_hash"])
     both = pairs.join(texts.select(F.col("text_hash").alias("v_text"), F.col("packed").alias("b")), "v_text").join(texts.select(F.col("text_hash").alias("u_text"), F.col("packed").alias("a")), "u_text")
@@ -291,11 +297,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = met.withColumn("c", F.row_number().over(W.partitionBy("node", "grp").orderBy("place")))
     hits = met.groupBy("node", "grp").agg(F.first("only").alias("only"), F.first("n").alias("n"), F.min("least").alias("least"), F.max(F.col("c") + F.least(F.col("n") - F.col("place"), F.col("room"))).alias("common"))
     opened = checkpoint(hits.where(possible(F.col("common"), F.col("n"), F.greatest(F.col("least"), F.ceil(F.col("n") * similar / 100)))).select("node", "grp", "only"))
-    # a group of one node is opened by now; of the others the members are compared each for itself
-    member = cells.select("token", "grp", F.col("node").alias("v"), F.col("n").alias("m"), F.col("place").alias("j"))
-    shared_tokens = q.join(opened.where("only IS NULL"), "node").join(member, ["token", "grp"]).where(fits(F.col("n"), F.col("m")))
-    pairs = shared_tokens.groupBy("node", "v").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.count("*").alias("c"), F.max("place").alias("i"), F.max("j").alias("j"))
-    pairs = pairs.where(possible(F.col("c") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")), F.col("n"), F.col("m"))).select(F.col("node").alias("u"), "v")
+    # a group of one node is opened by now; of the others each member that has a token of the matrix is held against the node by its sketch
+    sketches = nodes.select("node", "n", "sketch")
+    members = cells.select("grp", "node").distinct().join(sketches, "node").select("grp", F.col("node").alias("v"), F.col("n").alias("v_n"), F.col("sketch").alias("v_sketch"))
+    several = opened.where("only IS NULL").select("grp", "node").join(sketches, "node").select("grp", F.col("node").alias("u"), F.col("n").alias("u_n"), F.col("sketch").alias("u_sketch"))
+    pairs = _possible(several.join(members, "grp").where(fits(F.col("u_n"), F.col("v_n"))), similar, "u long, v long")
     pairs = pairs.unionByName(opened.where("only IS NOT NULL").select(F.col("node").alias("u"), F.col("only").alias("v")))
     more = verified(pairs, nodes, docs, words, similar)
     components = connected_components(links.unionByName(more))
