@@ -244,3 +244,17 @@ def read_back(media: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(k, pa.int64() if t == "long" else pa.string()) for k, t in (x.split() for x in FEATURES.split(", "))]))
 
     return media.mapInArrow(run, FEATURES)
+
+
+def timeline(media: DataFrame) -> DataFrame:
+    """doc_id, pts, unit_bytes, access_points: the time and size of every unit, and the numbers of those where reading can begin."""
+    schema = "doc_id long, pts array<long>, unit_bytes array<long>, access_points array<long>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.int64())
+        for whole in batches:
+            for batch in slices(whole, "media"):
+                streams = [read_stream(x) for x in batch.column("media").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([getattr(s, c) for s in streams], kind) for c in ("pts", "unit_bytes", "access_points")]], ["doc_id", "pts", "unit_bytes", "access_points"])
+
+    return media.select("doc_id", "media").mapInArrow(run, schema)

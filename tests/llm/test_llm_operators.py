@@ -331,6 +331,13 @@ def test_media_round_trip(spark, rows):
     assert got[906]["media_sha256"] == got[907]["media_sha256"]
 
 
+def test_timeline(spark):
+    r = media.timeline(media.store(spark.createDataFrame([(1, "x" * 10_000)], SCHEMA))).first()
+    assert r["unit_bytes"] == [576] * 18
+    assert r["pts"] == [media.TICKS * k for k in range(18)]
+    assert r["access_points"] == [0, 16]
+
+
 def test_parser_sees_faults():
     payload = bytes(range(256)) * 9 * 16
     stream = media.write_stream(payload)
@@ -481,6 +488,18 @@ def test_rows_without_id_and_repeated_rows(spark, run):
     assert out.count() >= 2
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_agrees_with_sql(spark, name):
+    import duckdb
+
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    df = queries.QUERIES[name](spark, SF)
+    columns = sorted(df.columns)
+    got = sorted(tuple(map(str, r)) for r in df.select(*columns).collect())
+    assert got == sorted(tuple(map(str, r)) for r in c.sql(queries.ORACLE_SQL[name]).project(", ".join(columns)).fetchall())
+
+
 def test_registry():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
