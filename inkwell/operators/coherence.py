@@ -42,7 +42,8 @@ def idf(counted: DataFrame) -> DataFrame:
 
 def weighted(counted: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """row_no, sid, gram, w: term frequency times idf."""
-    weights = (weights if weights is not None else idf(counted)).select("gram", "idf")
+    # counting the weights makes them, so they are kept for the join
+    weights = (weights if weights is not None else idf(counted)).select("gram", "idf").persist()
     if weights.count() <= BROADCAST:
         weights = F.broadcast(weights)
     return counted.join(weights, "gram").select("row_no", "sid", "gram", (F.col("tf") * F.col("idf")).alias("w"))
