@@ -50,6 +50,8 @@ SIMILAR = 75
 ROUNDS, LEADERS = 4, 8
 #: Frequent tokens that are put last in the order, at most (8 MB); one text in so many is looked at for them, and in so many of these a token must be.
 FREQUENT, SAMPLED, OFTEN = 1 << 20, 32, 3
+#: Nodes of a group that are compared at once with as many others.
+BLOCK = 1_000
 #: Size of the filter that goes to the scan of the texts: 8 MB.
 FILTER_BITS = 1 << 26
 _SALTS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], dtype=np.uint64)
@@ -178,6 +180,49 @@ def _possible(pairs: DataFrame, similar: int, schema: str) -> DataFrame:
     return pairs.select(*columns, "u_sketch", "v_sketch", "u_n", "v_n").mapInArrow(run, schema)
 
 
+def _opened(asking: DataFrame, members: DataFrame, sketches: DataFrame, similar: int) -> DataFrame:
+    """The pairs (u, v) of a node that asks for a group and a member of it whose sketches and sizes allow a link.
+
+    Both sides of a group are split into blocks of about ``BLOCK`` nodes, and each pair of blocks is one
+    piece of work: no task holds more than two blocks, and only pairs that pass leave it.
+    """
+    parts = lambda side, name: side.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    split = parts(asking, "u_parts").join(parts(members, "v_parts"), "grp")
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asking.join(split, "grp").join(sketches, "node").withColumn("u_part", part("u_parts")).withColumn("v_part", every("v_parts")).select(*[F.col(c).alias(c) for c in ("grp", "u_part", "v_part")], *[F.col(c).alias(f"u_{c}") for c in ("node", "n", "sketch")])
+    right = members.join(split, "grp").join(sketches, "node").withColumn("v_part", part("v_parts")).withColumn("u_part", every("u_parts")).select(*[F.col(c).alias(c) for c in ("grp", "u_part", "v_part")], *[F.col(c).alias(f"v_{c}") for c in ("node", "n", "sketch")])
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        classes: dict[int, list[int]] = {}
+        rows = b.column("v_sketch").to_pylist()
+        for k, x in enumerate(rows):
+            classes.setdefault(len(x), []).append(k)
+        size, name = b.column("v_n").to_numpy(), b.column("v_node").to_numpy()
+        blocks = {w: (np.frombuffer(b"".join(rows[k] for k in ks), dtype=np.uint8).reshape(len(ks), w), np.array(ks)) for w, ks in classes.items()}
+        us, vs = [], []
+        for u, n, sketch in zip(*(a.column(c).to_pylist() for c in ("u_node", "u_n", "u_sketch")), strict=True):
+            own = np.frombuffer(sketch, dtype=np.uint8).reshape(1, -1)
+            for block, ks in blocks.values():
+                m = size[ks]
+                keep = (100 * n >= similar * m) & (100 * m >= similar * n)
+                if not keep.any():
+                    continue
+                x, y = own, block[keep]
+                while x.shape[1] > y.shape[1]:
+                    x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+                while y.shape[1] > x.shape[1]:
+                    y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+                apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+                near = ks[keep][(100 + similar) * apart <= (100 - similar) * (n + m[keep])]
+                us.append(np.full(len(near), u))
+                vs.append(name[near])
+        return pa.table({"u": pa.array(np.concatenate(us) if us else [], pa.int64()), "v": pa.array(np.concatenate(vs) if vs else [], pa.int64())})
+
+    keys = ["grp", "u_part", "v_part"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "u long, v long")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similar: int) -> DataFrame:
     """The pairs (u, v) of nodes whose texts' sets are similar enough; ``nodes`` has n, sketch and text_hash of each node.
 
@@ -298,10 +343,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hits = met.groupBy("node", "grp").agg(F.first("only").alias("only"), F.first("n").alias("n"), F.min("least").alias("least"), F.max(F.col("c") + F.least(F.col("n") - F.col("place"), F.col("room"))).alias("common"))
     opened = checkpoint(hits.where(possible(F.col("common"), F.col("n"), F.greatest(F.col("least"), F.ceil(F.col("n") * similar / 100)))).select("node", "grp", "only"))
     # a group of one node is opened by now; of the others each member that has a token of the matrix is held against the node by its sketch
-    sketches = nodes.select("node", "n", "sketch")
-    members = cells.select("grp", "node").distinct().join(sketches, "node").select("grp", F.col("node").alias("v"), F.col("n").alias("v_n"), F.col("sketch").alias("v_sketch"))
-    several = opened.where("only IS NULL").select("grp", "node").join(sketches, "node").select("grp", F.col("node").alias("u"), F.col("n").alias("u_n"), F.col("sketch").alias("u_sketch"))
-    pairs = _possible(several.join(members, "grp").where(fits(F.col("u_n"), F.col("v_n"))), similar, "u long, v long")
+    pairs = _opened(opened.where("only IS NULL").select("grp", "node"), cells.select("grp", "node").distinct(), nodes.select("node", "n", "sketch"), similar)
     pairs = pairs.unionByName(opened.where("only IS NOT NULL").select(F.col("node").alias("u"), F.col("only").alias("v")))
     more = verified(pairs, nodes, docs, words, similar)
     components = connected_components(links.unionByName(more))
