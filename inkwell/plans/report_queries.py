@@ -256,6 +256,13 @@ def sentiment_hits(spark, sf_dir):
     return docs(spark, sf_dir).select(F.col("doc_id").alias("row_no"), F.array_join(F.transform(sentiment.hits(tx.text(), P), lambda h: h["word"]), " ").alias("words"))
 
 
+@query(f"""SELECT row_no, array_to_string(list_transform(h, lambda x: x.word), ' ') AS words, len(list_filter(h, lambda x: x.flipped)) AS flipped
+FROM (SELECT doc_id AS row_no, {sql.hits(sql.sentence_tokens(sql.clean(sql.TEXT), ZH), ZH, sentiment.REACH)} AS h FROM {CASES_SQL})""")
+def sentiment_hits_zh(spark, sf_dir):
+    rows = cases(spark).select(F.col("doc_id").alias("row_no"), sentiment.hits(tx.clean(tx.text()), ZH).alias("h"))
+    return rows.select("row_no", F.array_join(F.transform("h", lambda h: h["word"]), " ").alias("words"), F.size(F.filter("h", lambda h: h["flipped"])).cast("long").alias("flipped"))
+
+
 _SHARE = len(P.positive) / (len(P.positive) + len(P.negative))
 
 
@@ -386,6 +393,11 @@ def tone_hits(spark, sf_dir):
     return tone_scores(spark, sf_dir).unpivot("row_no", list(tone.DIMS), "dim", "n").groupBy("dim").agg(F.sum("n").alias("hits"), F.count_if(F.col("n") > 0).alias("rows_with_hits"))
 
 
+@query(f"SELECT row_no, letters, {', '.join(f'{sql.occurrences("w", ws)} AS {d}' for d, ws in tone.by_dim(ZH, 1).items())} FROM (SELECT doc_id AS row_no, {sql.letters(sql.TEXT, ZH)} AS letters, {sql.tokens(sql.mask(sql.TEXT, ZH), ZH)} AS w FROM {CASES_SQL})")
+def tone_scores_zh(spark, sf_dir):
+    return tone.scores(cases(spark), ZH)
+
+
 @query(f"SELECT row_no, {', '.join(f'{_cautious(ws)} AS {d}_cautious' for d, ws in tone.by_dim(P, 1).items())} FROM (SELECT doc_id AS row_no, {sql.tokens(MASKED, P)} AS w FROM documents)")
 def tone_context(spark, sf_dir):
     rows = docs(spark, sf_dir).select(F.col("doc_id").alias("row_no"), tx.tokens(tone.mask(tx.text(), P), P).alias("w"))

@@ -53,6 +53,23 @@ def test_negators_flip_within_their_sentence(spark):
     assert got == {1: (0, 1), 2: (1, 0), 3: (1, 0), 4: (1, 0)}
 
 
+def test_chinese_words_are_found_inside_runs_of_characters(spark):
+    texts = {1: "业绩良好", 2: "业绩并未改善", 3: "未来业绩不断提升", 4: "业绩并非没有改善，收入负增长", 5: "EPS增长10%。没有亏损"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r["doc_id"]: [(h["word"], h["flipped"]) for h in r["h"]] for r in df.select("doc_id", sentiment.hits(tx.text(), ZH).alias("h")).collect()}
+    assert found == {1: [("良好", False)], 2: [("改善", True)], 3: [("提升", False)], 4: [("改善", False)], 5: [("增长", False), ("亏损", True)]}
+    polarity = {r["row_no"]: (r["ratio"], r["polarity"]) for r in sentiment.scores(sentiment.counts(df, ZH), "negated").collect()}
+    assert polarity[1] == (1.0, "positive")
+    assert polarity[2] == (0.0, "negative")
+
+
+def test_masked_grade_is_one_hit_at_its_place(spark):
+    case = cases(spark).where("doc_id = -12")
+    assert tone.scores(case, ZH).first()["strength"] == 1
+    (hit,) = tone.hit_places(case, ZH).collect()
+    assert (hit["word"], hit["dim"], hit["start"], hit["end"]) == ("强烈", "strength", 7, 9)
+
+
 def test_doubled_text_has_the_same_ratio(spark):
     d = docs(spark, SF).select("doc_id", "text")
     once = sentiment.scores(sentiment.counts(d, LATIN)).select("row_no", "ratio")
