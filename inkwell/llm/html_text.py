@@ -28,9 +28,14 @@ TEXT = "page_id long, url string, text string, n_chars long"
 
 # Fixed values of HTML: elements by how they end a block, hold no text, or hold none to show.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-UNSEEN = frozenset("script style noscript template head title svg math iframe object audio video canvas select textarea datalist".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mspace mpadded semantics annotation annotation-xml".split())
+#: What they hold is left out once their own end tag comes; without one, what follows them may be the page.
+UNSEEN = frozenset("script style noscript template head title iframe object audio video canvas select textarea datalist".split())
 RAW = frozenset("script style textarea title iframe noscript xmp".split())
+#: Other notations of a formula, which are not shown beside it.
+NOTATION = frozenset(("annotation", "annotation-xml"))
+#: What can stand in a head; anything else ends it.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: Elements whose start ends an open paragraph.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 #: Elements that end an open one of their own kind, and where the search for it stops.
@@ -57,6 +62,7 @@ class _Element:
     tag: str
     names: frozenset[str] = frozenset()
     hidden: bool = False
+    closed: bool = False
 
 
 @dataclass
@@ -64,11 +70,19 @@ class _Parser:
     stack: list[_Element] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
     linked: int = 0
-    blocks: list[Block] = field(default_factory=list)
+    found: list[tuple[Block, list[_Element]]] = field(default_factory=list)
+
+    def blocks(self) -> list[Block]:
+        """The blocks outside of unseen elements; an element that something else than its end tag ended counts as none."""
+        return [b for b, unseen in self.found if not any(e.closed for e in unseen)]
+
+    def end_head(self) -> None:
+        if self.stack and self.stack[-1].tag == "head":
+            self.pop_to(len(self.stack) - 1)
 
     def text(self, data: str) -> None:
-        if any(e.tag in UNSEEN for e in self.stack):
-            return
+        if not data.isspace():
+            self.end_head()
         data = entities.unescape(data) if "&" in data else data
         self.parts.append(data)
         if any(e.tag == "a" for e in self.stack):
@@ -79,7 +93,8 @@ class _Parser:
             text = _BLANK.sub(" ", "".join(self.parts)).strip()
             if text:
                 outer = [e for e in self.stack if e.tag not in INLINE]
-                self.blocks.append(Block(text, outer[-1].tag if outer else "", tuple(e.tag for e in outer), frozenset().union(*(e.names for e in self.stack)) if self.stack else frozenset(), self.linked, any(e.hidden for e in self.stack)))
+                block = Block(text, outer[-1].tag if outer else "", tuple(e.tag for e in outer), frozenset().union(*(e.names for e in self.stack)) if self.stack else frozenset(), self.linked, any(e.hidden for e in self.stack))
+                self.found.append((block, [e for e in self.stack if e.tag in UNSEEN]))
             self.parts, self.linked = [], 0
 
     def pop_to(self, k: int) -> None:
@@ -95,6 +110,8 @@ class _Parser:
         return -1
 
     def start(self, tag: str, attributes: str) -> None:
+        if tag not in IN_HEAD:
+            self.end_head()
         block = tag not in INLINE
         if block:
             self.flush()
@@ -124,6 +141,7 @@ class _Parser:
         k = self.find(tag)
         if k < 0:
             return
+        self.stack[k].closed = True
         if tag in INLINE:
             if any(e.tag not in INLINE for e in self.stack[k + 1 :]):
                 return
@@ -151,12 +169,15 @@ def leaf_blocks(page: str | None) -> list[Block]:
             stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             at = stop.end() if stop else len(page)
             p.end(tag)
-        elif closed and tag in ("svg", "path", "math"):
+        elif tag in NOTATION and not closed and (stop := re.compile(rf"</{tag}\s*>", re.I).search(page, at)):
+            at = stop.end()
+            p.end(tag)
+        elif closed and any(p.find(x, ("foreignobject",)) >= 0 for x in ("svg", "math")):
             p.end(tag)
     if at < len(page):
         p.text(page[at:])
     p.flush()
-    return p.blocks
+    return p.blocks()
 
 
 _MARKS = {"copyright": re.compile(r"©|\bcopyright\b|\(c\)", re.I), "arrow": re.compile(r"[»›→|·]"), "dots": re.compile(r"\.\.\.|…")}

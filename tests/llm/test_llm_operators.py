@@ -401,6 +401,24 @@ def test_page_text(crf):
     assert html_text.main_text(None, crf) == html_text.main_text("", crf) == html_text.main_text("<script>x", crf) == ""
 
 
+def test_pages_without_end_tags(crf):
+    assert html_text.main_text(PAGE.replace("</head>", ""), crf) == html_text.main_text(PAGE, crf)
+    assert html_text.main_text(PAGE.replace("</head><body>", ""), crf) == html_text.main_text(PAGE, crf)
+    texts = lambda page: [b.text for b in html_text.leaf_blocks(page)]
+    assert texts("<head><title>x</title>Bare text<p>b") == ["Bare text", "b"]
+    for tag in ("select", "video", "audio", "object", "canvas", "template", "svg", "math"):
+        assert texts(f"<article><p>a</p><{tag}><p>b</p></article><p>c")[-2:] == ["b", "c"], tag
+    for tag in ("select", "video", "audio", "object", "canvas", "template"):
+        assert texts(f"<p>a</p><{tag}><p>b</p></{tag}><p>c") == ["a", "c"], tag
+
+
+def test_formulas_and_drawings_have_text():
+    texts = lambda page: [b.text for b in html_text.leaf_blocks(page)]
+    formula = '<math><semantics><mrow><mi>x</mi><mspace width="1"/><mo>=</mo><mn>1</mn></mrow><annotation encoding="t">x &gt; y</annotation></semantics></math>'
+    assert texts(f"<p>Let {formula} hold.</p><p>b") == ["Let x=1 hold.", "b"]
+    assert texts('<svg><path d="m"/><g><text>Axis</text></g></svg><p>b') == ["Axis", "b"]
+
+
 def test_pages_query(spark, crf):
     df = frame(spark, [(1, "u", PAGE), (2, None, None), (3, "v", "<"), (3, "v", "<")], "page_id long, url string, html string")
     got = html_text.extract(df, crf).collect()
