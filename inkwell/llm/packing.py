@@ -1,10 +1,11 @@
 """Packing documents into fixed-length token sequences: dominance reduction, then best fit.
 
 Only token counts matter to the packing, so each document is tokenised once, longer ones are cut into
-pieces of the sequence length, and the small table of pieces is checkpointed. Pieces are then dealt by
-a hash of their document into shards of about ``SHARD`` documents: shards grow in number, not in size,
-and each wastes less than one sequence against packing everything at once. A shard is packed over its
-histogram of lengths.
+pieces of the sequence length, and the small table of pieces is checkpointed. All pieces are packed at
+once over their histogram of lengths: its answer, sets of lengths with multiplicities, grows with the
+sequence length and not with the input. Pieces are then dealt by a hash of their document into shards of
+about ``SHARD`` documents, which grow in number, not in size, and each piece takes the place that its
+rank among all pieces of its length has in the answer.
 
 The reduction is that of Martello and Toth: for each piece j, longest first, look for a set of pieces
 with j that no other feasible set could beat. Where no piece fits beside j, {j} is fixed. Where a piece
@@ -23,12 +24,12 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkwell.llm.common import LETTERS, NUMBERS, PLAIN, ChunkCoder, checkpoint, slices, text_or_empty, tokenizer_path
@@ -193,54 +194,81 @@ def reduce_dominated(counts: np.ndarray, capacity: int) -> tuple[list[tuple[tupl
             items.put(j)
             if chosen is None:
                 break
-            times = min(items.n[w] // chosen.count(w) for w in chosen) if len(chosen) == 1 or k == room else 1
+            # fewer pieces leave fewer sets that could beat it, so it holds as long as it can be taken
+            times = min(items.n[w] // chosen.count(w) for w in chosen)
             fixed.append((chosen, times))
             for w in chosen:
                 items.take(w, times)
     return fixed, np.asarray(items.n)
 
 
-def best_fit(counts: np.ndarray, capacity: int) -> list[list[int]]:
-    """Best fit, longest first; of equally full sequences the first opened."""
-    bins: list[list[int]] = []
-    by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
+def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Best fit, longest first: sets of lengths with multiplicities. Sequences with the same pieces are one entry."""
+    by_room: list[list[tuple[tuple[int, ...], int]]] = [[] for _ in range(capacity + 1)]
     mask = 0
+
+    def put(held: tuple[int, ...], n: int, room: int) -> None:
+        nonlocal mask
+        if n:
+            by_room[room].append((held, n))
+            mask |= 1 << room
+
     for w in range(capacity, 0, -1):
-        for _ in range(int(counts[w])):
+        left = int(counts[w])
+        while left:
             fits = mask >> w
-            if fits:
-                room = w + (fits & -fits).bit_length() - 1
-                b = heappop(by_room[room])
-                if not by_room[room]:
-                    mask ^= 1 << room
-                bins[b].append(w)
-            else:
-                room, b = capacity, len(bins)
-                bins.append([w])
-            heappush(by_room[room - w], b)
-            mask |= 1 << (room - w)
-    return bins
+            room = w + (fits & -fits).bit_length() - 1 if fits else capacity
+            # a sequence that has taken one is the fullest that can take the next
+            most = room // w
+            held, n = by_room[room].pop() if fits else ((), -(-left // most))
+            if not by_room[room]:
+                mask &= ~(1 << room)
+            full = min(n, left // most)
+            put(held + (w,) * most, full, room - most * w)
+            left, n = left - full * most, n - full
+            if n and left:
+                put(held + (w,) * left, 1, room - left * w)
+                left, n = 0, n - 1
+            put(held, n, room)
+    return [x for xs in by_room for x in xs]
+
+
+class Places:
+    """Where the pieces of each length go: runs of sequences, in the order of the pieces' ranks among those of their length."""
+
+    def __init__(self, counts: np.ndarray, capacity: int):
+        fixed, left = reduce_dominated(counts, capacity)
+        runs, first = [], 0
+        for lengths, times in fixed + best_fit(left, capacity):
+            at = 0
+            for w in lengths:
+                runs.append((w, first, times, at))
+                at += w
+            first += times
+        table = np.asarray(sorted(runs), dtype=np.int64).reshape(-1, 4)
+        self.length, self.first, times, self.at = table.T
+        total = np.cumsum(times) - times
+        new = np.diff(self.length, prepend=0) != 0
+        self.rank = total - total[np.flatnonzero(new)][np.cumsum(new) - 1] if len(table) else total
+
+    def of(self, lengths: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sequence (from 0) of each piece and its place there."""
+        k = np.searchsorted((self.length << 40) + self.rank, (lengths << 40) + ranks, side="right") - 1
+        return self.first[k] + ranks - self.rank[k], self.at[k]
+
+
+def ranks_of(ordered: np.ndarray) -> np.ndarray:
+    """The rank (from 0) of each of some ordered lengths among its equals."""
+    return np.arange(len(ordered)) - np.searchsorted(ordered, ordered)
 
 
 def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """For each length its sequence (from 0) and its place there."""
-    counts = np.bincount(lengths, minlength=capacity + 1)
-    fixed, left = reduce_dominated(counts, capacity)
-    sets = [(s, n) for s, n in fixed] + [(tuple(b), 1) for b in best_fit(left, capacity)]
-    slots: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
-    b = 0
-    for lens, times in sets:
-        for _ in range(times):
-            at = 0
-            for w in lens:
-                slots[w].append((b, at))
-                at += w
-            b += 1
+    lengths = np.asarray(lengths, dtype=np.int64)
     order = np.argsort(lengths, kind="stable")
-    flat = np.asarray([x for w in range(1, capacity + 1) for x in slots[w]], dtype=np.int64).reshape(-1, 2)
-    out = np.empty((len(lengths), 2), dtype=np.int64)
-    out[order] = flat
-    return out[:, 0], out[:, 1]
+    ranks = np.empty(len(lengths), dtype=np.int64)
+    ranks[order] = ranks_of(lengths[order])
+    return Places(np.bincount(lengths, minlength=capacity + 1), capacity).of(lengths, ranks)
 
 
 def best_fit_packing(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0, shard: int = SHARD) -> DataFrame:
@@ -251,10 +279,20 @@ def best_fit_packing(docs: DataFrame, tokenizer: str | None = None, capacity: in
     path = tokenizer or tokenizer_path("word_bpe_49k.json")
     cut = checkpoint(pieces(docs, path, capacity, end_id))
     shards = max(1, -(-docs.count() // shard))
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        seq, at = pack_lengths(pdf["length"].to_numpy(), capacity)
-        return pdf.assign(sequence_id=seq + (pdf["shard"].to_numpy().astype("int64") << 40), offset=at).drop(columns="shard")
-
-    return cut.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(pack, PACKED)
+    cut = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
+    counts = np.zeros(capacity + 1, dtype=np.int64)
+    for row in cut.groupBy("length").count().collect():
+        counts[row["length"]] = row["count"]
+    places = Places(counts, capacity)
+    earlier = W.partitionBy("length").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    before = cut.groupBy("shard", "length").count().select(F.col("shard").alias("of_shard"), F.col("length").alias("of_length"), F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
+
+    def pack(pdf: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["length", "doc_id", "piece"], kind="stable")
+        first = np.zeros(capacity + 1, dtype=np.int64)
+        first[before["of_length"].to_numpy()] = before["before"].to_numpy()
+        length = pdf["length"].to_numpy()
+        seq, at = places.of(length, first[length] + ranks_of(length))
+        return pdf.assign(sequence_id=seq, offset=at).drop(columns="shard")
+
+    return cut.groupBy("shard").cogroup(before.groupBy("of_shard")).applyInPandas(pack, PACKED)

@@ -89,6 +89,29 @@ def test_packing(spark, rows):
         assert s.length.sum() <= 256
 
 
+def test_shards_are_packed_together(spark):
+    rows = [(i, "a " * n) for i, n in enumerate([13, 5] * 40)]
+    got = packing.best_fit_packing(frame(spark, rows), capacity=20, shard=8).toPandas()
+    assert got.sequence_id.nunique() == 40
+    assert (got.groupby("sequence_id").length.sum() == 20).all()
+    assert not got.duplicated(["sequence_id", "offset"]).any()
+
+
+def test_best_fit_is_the_one_by_one_rule():
+    rng = random.Random(4)
+    for _ in range(200):
+        lengths = sorted((rng.randrange(1, 21) for _ in range(rng.randrange(1, 60))), reverse=True)
+        rooms = []
+        for n in lengths:
+            fits = [r for r in rooms if r >= n]
+            if fits:
+                rooms.remove(min(fits))
+            rooms.append((min(fits) if fits else 20) - n)
+        sets = packing.best_fit(np.bincount(lengths, minlength=21), 20)
+        assert sorted(20 - sum(s) for s, n in sets for _ in range(n)) == sorted(rooms)
+        assert sorted(x for s, n in sets for x in s * n) == sorted(lengths)
+
+
 def best_packing(lengths, capacity):
     """The least number of sequences, by trying all."""
     best = len(lengths)
