@@ -36,14 +36,17 @@ def normalised(text: Column) -> Column:
 
 def with_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, its length in code points, and the verified digest of its normalised text."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), *[c.alias(name) for name, c in _measures(text_col).items()])
+
+
+def _measures(text_col: str) -> dict[str, Column]:
     norm = normalised(text_or_empty(text_col))
-    return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.length(text_or_empty(text_col)).cast("long").alias("length"),
-        F.sha2(norm, 256).alias("digest"),
-        F.xxhash64(norm).alias("second"),
-        F.octet_length(norm).cast("long").alias("n_bytes"),
-    )
+    return {
+        "length": F.length(text_or_empty(text_col)).cast("long"),
+        "digest": F.sha2(norm, 256),
+        "second": F.xxhash64(norm),
+        "n_bytes": F.octet_length(norm).cast("long"),
+    }
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,15 +110,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows that repeat both id and text, one.
+    """The rows of ``docs`` that stay, with all their columns; of rows that repeat both id and text, one of the longest.
 
-    Rows without an id stay only where no row of their text has one, one row for each text.
+    Rows that share an id but not a text are apart. Rows without an id stay only where ``exact_dedup``
+    keeps no id for their text, one row for each text.
     """
-    result = exact_dedup(docs, id_col, text_col)
-    named = docs.where(F.col(id_col).isNotNull())
-    kept = result.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__keep"))
-    named = named.join(kept, F.col(id_col) == F.col("__keep"), "left_semi").dropDuplicates([id_col])
-    nameless = docs.where(F.col(id_col).isNull()).withColumn("__digest", F.sha2(normalised(text_or_empty(text_col)), 256))
-    texts = result.where("keep_id IS NULL").select(F.col("text_sha256").alias("__text"))
-    nameless = nameless.join(texts, F.col("__digest") == F.col("__text"), "left_semi").dropDuplicates(["__digest"]).drop("__digest")
-    return named.unionByName(nameless)
+    best = merge_tree(with_digest(docs, id_col, text_col))
+    # plain columns for the id, so that join and dropDuplicates share one shuffle of the texts
+    names = ["__id", "__nameless", *[f"__{c}" for c in _measures(text_col)]]
+    with_keys = lambda i, measures: [F.coalesce(i, F.lit(0)).alias("__id"), i.isNull().alias("__nameless"), *[c.alias(f"__{name}") for name, c in measures.items()]]
+    kept = best.select(*with_keys(F.col("best_id"), {"length": F.col("best_len"), **{k: F.col(k) for k in KEY}}))
+    rows = docs.select("*", *with_keys(F.col(id_col).cast("long"), _measures(text_col)))
+    return rows.join(kept, names, "left_semi").dropDuplicates(names).select(*docs.columns)

@@ -70,6 +70,13 @@ def test_exact_dedup_keeps_apart_what_only_shares_a_digest(spark):
     assert sorted((r["best_id"], r["n"]) for r in exact_dedup.merge_tree(runs).collect()) == [(2, 2), (4, 1)]
 
 
+def test_deduplicate_keeps_texts_that_share_an_id(spark):
+    rows = [(1, "a b"), (1, "c"), (1, "c"), (2, "ab"), (2, "d"), (3, "d e"), (3, "de"), (None, "f"), (None, "f"), (None, "g"), (4, "g")]
+    kept = exact_dedup.deduplicate(frame(spark, rows)).collect()
+    # (2, "ab") is a dropped copy of (1, "a b") though (2, "d") stays
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, "f"), (1, "a b"), (1, "c"), (2, "d"), (3, "d e"), (4, "g")]
+
+
 # ---- packing -----------------------------------------------------------------------------------
 
 
