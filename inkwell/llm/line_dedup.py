@@ -91,8 +91,9 @@ def earlier_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     halves = half_keys(every)
     likely = half_keys(every).join(_shared(halves), "key", "left_semi").select("h1").distinct().join(firsts, "h1")
     # one row for each distinct line that may have a partner, with its text
-    places = likely.select(*LINE, "first", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
-    texts = every.select("h1", "doc_id", "line_no", "line").join(places, ["h1", "doc_id", "line_no"]).dropDuplicates(LINE)
+    places = likely.select(F.col("h1").alias("__h1"), "h2", "first")
+    at_first = (F.col("h1") == F.col("__h1")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))
+    texts = every.select("h1", "doc_id", "line_no", "line").join(places, at_first).select(*LINE, "first", "line").dropDuplicates(LINE)
     keys = block_keys(texts, BLOCKS, *LINE, "first", "line")
     near = keys.join(_shared(keys.select("h1", "key")), "key", "left_semi")
     v = variants(near)

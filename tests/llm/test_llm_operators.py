@@ -291,6 +291,12 @@ def test_line_dedup(spark):
     assert all(r["n_removed"] == r["n_lines"] - len(r["kept_lines"]) for r in got.values())
 
 
+def test_lines_of_rows_without_id_have_neighbours(spark):
+    rows = [(None, "a line of text\nanother one"), (1, "a line of texts\nanother one"), (2, "a line of text"), (3, "anotherr one")]
+    got = {r["doc_id"]: r["kept_lines"] for r in line_dedup.line_dedup(frame(spark, rows)).collect()}
+    assert got == {None: [0, 1], 1: [], 2: [], 3: []}
+
+
 def test_line_dedup_has_no_python(spark):
     plan = line_dedup.line_dedup(frame(spark, [(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
