@@ -105,6 +105,29 @@ def earlier_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return found.join(one, LINE).join(other, "best").where(F.levenshtein("a", "b", 1) >= 0).select(*LINE, F.col("best.doc_id").alias("earlier_doc"), F.col("best.line_no").alias("earlier_line"))
 
 
+def _kept(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """h1, h2 and first (doc_id, line_no) of every distinct line that stays."""
+    firsts = lines(docs, id_col, text_col).groupBy(*LINE).agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
+    return firsts.join(earlier_neighbours(docs, id_col, text_col).select(*LINE), LINE, "left_anti")
+
+
+def kept_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id and the text without the lines that ``line_dedup`` removes; empty lines stay.
+
+    A line that rows of one id have at the same number stays in each of them.
+    """
+    place = lambda k, h1: F.struct(k.cast("int").alias("line_no"), h1.alias("h1"))
+    kept = _kept(docs, id_col, text_col).groupBy(F.col("first.doc_id").alias("__id")).agg(F.collect_list(place(F.col("first.line_no"), F.col("h1"))).alias("kept"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.split(text_or_empty(text_col), "\n", -1).alias("parts"))
+    joined = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+
+    def stays(part: Column, k: Column) -> Column:
+        line = F.btrim(part, F.lit(" \t\x0b\x0c\r"))
+        return (line == "") | F.coalesce(F.array_contains("kept", place(k, F.xxhash64(line))), F.lit(False))
+
+    return joined.select("doc_id", F.array_join(F.filter("parts", stays), "\n").alias("text"))
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, kept_lines (numbers of the lines that stay, from 0).
 
@@ -112,10 +135,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     that comes earlier (by doc_id, then line number) is equal to it or within one edit of it. A null text
     has no lines; a null id sorts first; rows with the same id are counted together.
     """
-    every = lines(docs, id_col, text_col)
-    firsts = every.groupBy(*LINE).agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    kept = firsts.join(earlier_neighbours(docs, id_col, text_col).select(*LINE), LINE, "left_anti")
-    kept = kept.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.sort_array(F.collect_list("first.line_no")).alias("kept_lines"))
+    kept = _kept(docs, id_col, text_col).groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.sort_array(F.collect_list("first.line_no")).alias("kept_lines"))
     counts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.size(F.filter(F.split(text_or_empty(text_col), "\n", -1), lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r")) != "")).cast("long").alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n_lines"))
     joined = counts.join(kept.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     lines_kept = F.coalesce("kept_lines", F.array().cast("array<int>"))

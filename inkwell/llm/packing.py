@@ -32,12 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import LETTERS, NUMBERS, PLAIN, ChunkCoder, checkpoint, slices, text_or_empty, tokenizer_path
+from inkwell.llm.common import LETTERS, NUMBERS, PLAIN, ChunkCoder, checkpoint, slices, text_or_empty, tokenizer_path, written
 
 #: Documents a shard is meant to hold.
 SHARD = 32_768
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = PIECES + ", sequence_id long, offset long"
+PLACE = ", sequence_id long, offset long"
+IDS = ", ids array<int>"
 
 
 #: How the tokenizer file splits text into the words it merges within; a fixed value of that file.
@@ -90,15 +91,15 @@ def word_tokenizer(path: str) -> ChunkCoder:
     return ChunkCoder(encode_many, split, 300_000)
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """Each document's token pieces of at most ``capacity`` ids; null text is empty and still has its end id."""
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+    """Each document's token pieces of at most ``capacity`` ids, with the ids themselves where asked for; null text is empty and still has its end id."""
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_tokenizer(tokenizer)
         for whole in batches:
             for batch in slices(whole):
-                doc, piece, start, length, crc = [], [], [], [], []
+                doc, piece, start, length, crc, kept = [], [], [], [], [], []
                 for i, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text").to_pylist()), strict=True):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
@@ -108,9 +109,15 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
                         start.append(at // 4)
                         length.append(len(part) // 4)
                         crc.append(zlib.crc32(part))
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                        if with_ids:
+                            kept.append(np.frombuffer(part, dtype="<i4"))
+                columns = [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                if with_ids:
+                    columns, names = [*columns, pa.array(kept, pa.list_(pa.int32()))], [*names, "ids"]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(cut, PIECES + IDS * with_ids)
 
 
 class _Open:
@@ -271,13 +278,14 @@ def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return Places(np.bincount(lengths, minlength=capacity + 1), capacity).of(lengths, ranks)
 
 
-def best_fit_packing(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0, shard: int = SHARD) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+def best_fit_packing(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0, shard: int = SHARD, with_ids: bool = False) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and before the last two ids, where asked for.
 
     A null text is an empty document of one id. Repeated rows are packed each; an empty table gives no rows.
     """
     path = tokenizer or tokenizer_path("word_bpe_49k.json")
-    cut = checkpoint(pieces(docs, path, capacity, end_id))
+    cut = pieces(docs, path, capacity, end_id, with_ids)
+    cut = written(cut) if with_ids else checkpoint(cut)
     shards = max(1, -(-docs.count() // shard))
     cut = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
     counts = np.zeros(capacity + 1, dtype=np.int64)
@@ -295,4 +303,11 @@ def best_fit_packing(docs: DataFrame, tokenizer: str | None = None, capacity: in
         seq, at = places.of(length, first[length] + ranks_of(length))
         return pdf.assign(sequence_id=seq, offset=at).drop(columns="shard")
 
-    return cut.groupBy("shard").cogroup(before.groupBy("of_shard")).applyInPandas(pack, PACKED)
+    return cut.groupBy("shard").cogroup(before.groupBy("of_shard")).applyInPandas(pack, PIECES + IDS * with_ids + PLACE)
+
+
+def packed_sequences(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0, shard: int = SHARD // 8) -> DataFrame:
+    """sequence_id and ids: the packed sequences themselves, each the ids of its pieces by offset, without padding."""
+    placed = best_fit_packing(docs, tokenizer, capacity, end_id, shard, with_ids=True)
+    together = placed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
+    return together.select("sequence_id", F.flatten("parts.ids").alias("ids"))

@@ -96,6 +96,13 @@ def test_packing(spark, rows):
         assert s.length.sum() <= 256
 
 
+def test_packed_sequences_hold_the_ids(spark, rows):
+    held = {r["sequence_id"]: np.asarray(r["ids"], dtype="<u4") for r in packing.packed_sequences(frame(spark, rows), capacity=256).collect()}
+    placed = packing.best_fit_packing(frame(spark, rows), capacity=256).collect()
+    assert sum(map(len, held.values())) == sum(r["length"] for r in placed)
+    assert all(zlib.crc32(held[r["sequence_id"]][r["offset"] :][: r["length"]].tobytes()) == r["ids_crc32"] for r in placed)
+
+
 def test_shards_are_packed_together(spark):
     rows = [(i, "a " * n) for i, n in enumerate([13, 5] * 40)]
     got = packing.best_fit_packing(frame(spark, rows), capacity=20, shard=8).toPandas()
@@ -297,6 +304,12 @@ def test_lines_of_rows_without_id_have_neighbours(spark):
     assert got == {None: [0, 1], 1: [], 2: [], 3: []}
 
 
+def test_kept_texts(spark):
+    rows = [(1, " a line\n\nother\r\nother"), (2, "a lime\nnew one"), (None, None), (3, "")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.kept_texts(frame(spark, rows)).collect()}
+    assert got == {1: " a line\n\nother\r", 2: "new one", None: "", 3: ""}
+
+
 def test_line_dedup_has_no_python(spark):
     plan = line_dedup.line_dedup(frame(spark, [(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
