@@ -35,8 +35,14 @@ def extremes(df: DataFrame, by: str, n: int, key: str = "row_no") -> DataFrame:
 
 
 def merge(outputs: list[DataFrame], key: str = "row_no") -> DataFrame:
-    """One wide row per key; columns that two outputs share are an error, and so are different row counts."""
+    """One wide row per key. Columns that two outputs share are an error at once; a key that one of them lacks, or repeats, is one when the rows are made."""
     columns = [c for d in outputs for c in d.columns if c != key]
     if len(set(columns)) < len(columns):
         raise ValueError("outputs share column names")
-    return reduce(lambda a, b: a.join(b, key), outputs)
+    once = [d.withColumn(f"__in{i}", F.lit(1)) for i, d in enumerate(outputs)]
+    joined = reduce(lambda a, b: a.join(b, key, "full"), once)
+    lacking = reduce(lambda a, b: a | b, [F.col(f"__in{i}").isNull() for i in range(len(outputs))])
+    checked = F.when(lacking, F.raise_error(F.concat(F.lit("an output lacks the row "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))).otherwise(F.col(key))
+    again = F.lag(key).over(W.partitionBy(key).orderBy(key)).isNotNull()
+    checked = F.when(again, F.raise_error(F.concat(F.lit("an output repeats the row "), F.col(key).cast("string")))).otherwise(checked)
+    return joined.select(checked.alias(key), *columns)

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from inkwell.functions.profiles import Profile
 from inkwell.functions.text import mean_of, sentences, text, tokens
 
-#: Grams up to which their weights are broadcast; beyond it they are joined by shuffle.
-BROADCAST = 100_000
+#: Grams up to which their weights are broadcast (some 20 MB); beyond it they are joined by shuffle, each in so many parts.
+BROADCAST, PARTS = 500_000, 16
 
 
 def sentence_rows(df: DataFrame, p: Profile, id_col: str = "doc_id", shuffled: str | None = None) -> DataFrame:
@@ -28,10 +28,9 @@ def sentence_rows(df: DataFrame, p: Profile, id_col: str = "doc_id", shuffled: s
 
 def grams(rows: DataFrame) -> DataFrame:
     """row_no, sid, gram, tf: the character bigrams of each sentence, lower-cased, with their counts."""
-    s = F.lower("sentence")
-    found = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(2)))
-    exploded = rows.repartition(F.col("row_no")).select("row_no", "sid", F.explode(F.filter(found, lambda g: F.length(g) == 2)).alias("gram"))
-    return exploded.groupBy("row_no", "sid", "gram").agg(F.count("*").alias("tf"))
+    chars = rows.repartition(F.col("row_no")).select("row_no", "sid", F.split(F.lower("sentence"), "").alias("c"))
+    pairs = F.transform(F.slice("c", 2, F.greatest(F.size("c") - 1, F.lit(0))), lambda b, i: F.concat(F.get("c", i), b))
+    return chars.select("row_no", "sid", F.explode(pairs).alias("gram")).groupBy("row_no", "sid", "gram").agg(F.count("*").alias("tf"))
 
 
 def idf(counted: DataFrame) -> DataFrame:
@@ -41,12 +40,15 @@ def idf(counted: DataFrame) -> DataFrame:
 
 
 def weighted(counted: DataFrame, weights: DataFrame | None = None) -> DataFrame:
-    """row_no, sid, gram, w: term frequency times idf."""
-    # counting the weights makes them, so they are kept for the join
-    weights = (weights if weights is not None else idf(counted)).select("gram", "idf").persist()
-    if weights.count() <= BROADCAST:
-        weights = F.broadcast(weights)
-    return counted.join(weights, "gram").select("row_no", "sid", "gram", (F.col("tf") * F.col("idf")).alias("w"))
+    """row_no, sid, gram, w: term frequency times idf. Weights are made once, and broadcast if they turn out to be few."""
+    weights = (weights if weights is not None else idf(counted)).select("gram", "idf")
+    few = weights.limit(BROADCAST + 1).toPandas()
+    if len(few) <= BROADCAST:
+        return counted.join(F.broadcast(counted.sparkSession.createDataFrame(few, weights.schema)), "gram").select("row_no", "sid", "gram", (F.col("tf") * F.col("idf")).alias("w"))
+    # the sentences of a frequent gram are dealt to several tasks
+    parts = weights.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    dealt = counted.withColumn("part", F.pmod(F.xxhash64("row_no", "sid"), F.lit(PARTS)).cast("int"))
+    return dealt.join(parts, ["gram", "part"]).select("row_no", "sid", "gram", (F.col("tf") * F.col("idf")).alias("w"))
 
 
 def similarities(vectors: DataFrame) -> DataFrame:

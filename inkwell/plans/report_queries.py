@@ -59,6 +59,10 @@ def cases(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CASES, "doc_id long, text string, company string")
 
 
+def cleaned_cases(spark: SparkSession) -> DataFrame:
+    return cases(spark).withColumn("text", tx.clean(tx.text()))
+
+
 # ---- sources, identity, cleaning -------------------------------------------------------------
 
 
@@ -216,14 +220,13 @@ def sentiment_counts(spark, sf_dir):
     return counted(spark, sf_dir).select("row_no", "pos_raw", "neg_raw")
 
 
-_WORDS = tx.any_of(ZH.positive + ZH.negative)
+_HITS_ZH = lambda t: f"len({sql.hits(sql.sentence_tokens(t, ZH), ZH, sentiment.REACH)})"
 
 
-@query(f"""SELECT doc_id AS row_no, len(regexp_extract_all({sql.TEXT}, {sql.lit(_WORDS)})) AS hits,
-  len(regexp_extract_all(CASE WHEN company IS NULL THEN {sql.TEXT} ELSE replace({sql.TEXT}, company, '') END, {sql.lit(_WORDS)})) AS hits_without_company FROM {CASES_SQL}""")
+@query(f"""SELECT doc_id AS row_no, {_HITS_ZH(sql.TEXT)} AS hits, {_HITS_ZH(f"CASE WHEN company IS NULL OR company = '' THEN {sql.TEXT} ELSE replace({sql.TEXT}, company, '') END")} AS hits_without_company FROM {CASES_SQL}""")
 def sentiment_company_excl(spark, sf_dir):
-    n = lambda t: F.size(F.regexp_extract_all(t, F.lit(f"({_WORDS})"), F.lit(1))).cast("long")
-    return cases(spark).select(F.col("doc_id").alias("row_no"), n(tx.text()).alias("hits"), n(F.when(F.col("company").isNull(), tx.text()).otherwise(F.replace(tx.text(), F.col("company"), F.lit("")))).alias("hits_without_company"))
+    n = lambda company, name: sentiment.counts(cases(spark), ZH, company_col=company).select("row_no", F.size("h").cast("long").alias(name))
+    return n(None, "hits").join(n("company", "hits_without_company"), "row_no")
 
 
 @query(f"SELECT row_no, len(h) AS hits, len(list_filter(h, lambda x: x.flipped)) AS flipped FROM ({HITS})")
@@ -238,7 +241,40 @@ def sentiment_body(spark, sf_dir):
 
 @query(COUNTS)
 def sentiment_calibers(spark, sf_dir):
-    return counted(spark, sf_dir)
+    return counted(spark, sf_dir).drop("h", "b")
+
+
+_MINUS = "CASE WHEN x.flipped THEN '-' ELSE '' END || "
+
+
+def _wide_sentiment_sql(hits: str) -> str:
+    """SQL for the 28 columns, from row_no, letters and the hits h and b."""
+    n = lambda h, sign, negated: f"len(list_filter({h}, lambda x: {_SIGN if negated else 'x.sign'} = {sign}))"
+    own = {c: ("b" if c == "body" else "h", c != "raw") for c in sentiment.CALIBERS}
+    counts = ", ".join(f"{n(h, 1, m)} AS pos_{c}, {n(h, -1, m)} AS neg_{c}" for c, (h, m) in own.items())
+    columns = ", ".join(
+        f"pos_{c}, neg_{c}, pos_{c} + neg_{c} AS hits_{c}, pos_{c} - neg_{c} AS net_{c}, {sql.ratio(f'pos_{c}', f'pos_{c} + neg_{c}')} AS ratio_{c}, {sql.per_thousand(f'(pos_{c} + neg_{c})', 'letters')} AS density_{c}, "
+        f"CASE WHEN letters = 0 THEN NULL WHEN pos_{c} > neg_{c} THEN 'positive' WHEN pos_{c} < neg_{c} THEN 'negative' ELSE 'neutral' END AS polarity_{c}, "
+        f"array_to_string(list_transform({h}, lambda x: {_MINUS if m else ''}x.word), ' ') AS words_{c}"
+        for c, (h, m) in own.items()
+    )
+    return f"SELECT row_no, letters, len(list_filter(h, lambda x: x.flipped)) AS flipped, len(h) - len(b) AS routine, {columns} FROM (SELECT *, {counts} FROM ({hits}))"
+
+
+@query(_wide_sentiment_sql(HITS))
+def sentiment_wide(spark, sf_dir):
+    return sentiment.wide(counted(spark, sf_dir))
+
+
+_NAMELESS = f"CASE WHEN company IS NULL OR company = '' THEN {sql.TEXT} ELSE replace({sql.TEXT}, company, '') END"
+HITS_ZH = f"""SELECT row_no, letters, {sql.hits("s", ZH, sentiment.REACH)} AS h, {sql.hits("b", ZH, sentiment.REACH)} AS b
+  FROM (SELECT doc_id AS row_no, {sql.letters(sql.TEXT, ZH)} AS letters, {sql.sentence_tokens(_NAMELESS, ZH)} AS s, {sql.sentence_tokens(sql.body(_NAMELESS, ZH), ZH)} AS b FROM (SELECT doc_id, company, {sql.clean(sql.TEXT)} AS text FROM {CASES_SQL}))"""
+
+
+@query(_wide_sentiment_sql(HITS_ZH))
+def sentiment_zh(spark, sf_dir):
+    """The written Chinese cases, cleaned, without the companies' names."""
+    return sentiment.wide(sentiment.counts(cleaned_cases(spark), ZH, company_col="company"))
 
 
 @query(_scores_sql("raw"))
@@ -273,7 +309,7 @@ def sentiment_baseline(spark, sf_dir):
 
 @query(f"SELECT round(avg(net), 6) AS mean_net, quantile_cont(net, 0.5)::DOUBLE AS median_net, round(quantile_cont(ratio, 0.5), 6) AS median_ratio FROM ({_scores_sql('raw')})")
 def sentiment_summary(spark, sf_dir):
-    return sentiment_scores(spark, sf_dir).agg(F.round(F.avg("net"), 6).alias("mean_net"), F.percentile("net", F.lit(0.5)).alias("median_net"), F.round(F.percentile("ratio", F.lit(0.5)), 6).alias("median_ratio"))
+    return sentiment.summary(sentiment_scores(spark, sf_dir))
 
 
 @query(f"SELECT round(corr(net, letters), 6) AS r FROM ({_scores_sql('raw')})")
@@ -337,31 +373,74 @@ def char_coverage(spark, sf_dir):
 
 FEATURES = f"""SELECT doc_id AS row_no, round(list_avg(list_transform({sql.sentences(sql.TEXT, P)}, lambda s: length(s))), 6) AS sentence_length,
   {sql.ratio(f"{_LOW} - {_in(P.common[0] + P.common[1])}", _LOW)} AS uncommon, round(list_avg(list_transform({sql.tokens(sql.TEXT, P)}, lambda w: length(w))), 6) AS word_length FROM documents"""
-_Z = {m: f"(({m} - m_{m}) / nullif(s_{m}, 0))" for m in ("sentence_length", "uncommon", "word_length")}
 
 
-@query(f"""WITH f AS ({FEATURES}), r AS (SELECT {', '.join(f'avg({m}) AS m_{m}, stddev_pop({m}) AS s_{m}' for m in _Z)} FROM f)
-SELECT row_no, round(({_Z['sentence_length']} + {_Z['word_length']}) / 2, 5) AS length_index, round(({_Z['sentence_length']} + {_Z['uncommon']}) / 2, 5) AS character_index FROM f, r""")
+#: References fitted on the scorable rows of the 10,000-document table and kept; the queries *_fit fit anew, the others only apply these.
+KEPT_MOMENTS = {"sentence_length": (73.32954, 114.86734), "uncommon": (0.06044, 0.04991), "word_length": (4.99256, 0.49483)}
+KEPT_QUANTILES = {
+    "sentence_length": (44.683334, 54.938462, 61.0, 65.358974, 69.532408, 73.171429, 77.454545, 83.456522, 94.73254),
+    "uncommon": (0.02284, 0.025882, 0.027674, 0.029561, 0.03223, 0.042553, 0.059347, 0.127206, 0.148909),
+    "cohesion": (0.003811, 0.012418, 0.016022, 0.018848, 0.021091, 0.023268, 0.025761, 0.029391, 0.036035),
+    "connectives": (0.0, 0.076923, 0.181818, 0.238095, 0.282609, 0.32381, 0.363636, 0.416667, 0.5),
+    "refs": (0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.03252, 0.058824),
+}
+
+
+def kept_quantiles(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(KEPT_QUANTILES.items()), frozen.SCHEMAS["quantiles"])
+
+
+def kept_moments(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(m, *x) for m, x in KEPT_MOMENTS.items()], frozen.SCHEMAS["moments"])
+
+
+def eligible(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that may enter a reference: those that can be scored."""
+    return df.join(readability.scorability(docs(spark, sf_dir), P).where("scorable").select("row_no"), "row_no", "left_semi")
+
+
+READABLE = ["sentence_length", "uncommon", "word_length"]
+_Z = {m: f"(({m} - {KEPT_MOMENTS[m][0]!r}::DOUBLE) / nullif({KEPT_MOMENTS[m][1]!r}::DOUBLE, 0))" for m in READABLE}
+_ELIGIBLE = f"row_no IN (SELECT row_no FROM ({SCORABLE}) WHERE missing_reason IS NULL)"
+
+
+@query(" UNION ALL ".join(f"SELECT '{m}' AS metric, round(avg({m}), 5) AS mean, round(stddev_pop({m}), 5) AS std FROM ({FEATURES}) WHERE {_ELIGIBLE}" for m in READABLE))
+def readability_fit(spark, sf_dir):
+    fitted = frozen.fit_moments(eligible(readability.features(docs(spark, sf_dir), P), spark, sf_dir), READABLE)
+    return fitted.select("metric", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"))
+
+
+@query(f"""SELECT row_no, round(({_Z['sentence_length']} + {_Z['word_length']}) / 2, 5) AS length_index, round(({_Z['sentence_length']} + {_Z['uncommon']}) / 2, 5) AS character_index FROM ({FEATURES})""")
 def readability_index(spark, sf_dir):
-    f = readability.features(docs(spark, sf_dir), P)
-    names = ["sentence_length", "uncommon", "word_length"]
-    reference = f.agg(*[x for m in names for x in (F.avg(m).alias(f"m_{m}"), F.stddev_pop(m).alias(f"s_{m}"))])
-    z = {m: F.try_divide(F.col(m) - F.col(f"m_{m}"), F.col(f"s_{m}")) for m in names}
-    return f.crossJoin(F.broadcast(reference)).select("row_no", F.round((z["sentence_length"] + z["word_length"]) / 2, 5).alias("length_index"), F.round((z["sentence_length"] + z["uncommon"]) / 2, 5).alias("character_index"))
+    z = frozen.z_scores(kept_moments(spark), READABLE)
+    return readability.features(docs(spark, sf_dir), P).select("row_no", F.round((z["sentence_length"] + z["word_length"]) / 2, 5).alias("length_index"), F.round((z["sentence_length"] + z["uncommon"]) / 2, 5).alias("character_index"))
 
 
 def _ranks_sql(source: str, metrics: list[str], keep: str = "row_no") -> str:
-    steps = "[" + ", ".join(map(str, frozen.STEPS)) + "]"
-    edges = ", ".join(f"(SELECT quantile_cont({m}, {steps}) FROM src) AS e_{m}" for m in metrics)
-    ranks = ", ".join(f"CASE WHEN {m} IS NOT NULL THEN round(len(list_filter(e_{m}, lambda e: e <= {m})) / {len(frozen.STEPS)}::DOUBLE, 6) END AS {m}_rank" for m in metrics)
-    return f"WITH src AS ({source}), e AS (SELECT {edges}) SELECT {keep}, {', '.join(metrics)}, {ranks} FROM src, e"
+    ranks = ", ".join(f"CASE WHEN {m} IS NOT NULL THEN round(len(list_filter({list(KEPT_QUANTILES[m])!r}::DOUBLE[], lambda e: e <= {m})) / {len(frozen.STEPS)}::DOUBLE, 6) END AS {m}_rank" for m in metrics)
+    return f"SELECT {keep}, {', '.join(metrics)}, {ranks} FROM ({source})"
+
+
+def _edges_sql(source: str, metrics: list[str]) -> str:
+    cells = " UNION ALL ".join(f"SELECT '{m}' AS metric, unnest(range(1, {len(frozen.STEPS) + 1})) AS step, unnest(quantile_cont({m}, {list(frozen.STEPS)!r})) AS edge FROM ({source}) WHERE {_ELIGIBLE}" for m in metrics)
+    return f"SELECT metric, step, round(edge, 6) AS edge FROM ({cells})"
+
+
+def fitted_edges(df: DataFrame, metrics: list[str]) -> DataFrame:
+    edges = frozen.fit_quantiles(df, metrics)
+    return edges.select("metric", F.posexplode("edges").alias("step", "edge")).select("metric", (F.col("step") + 1).cast("long").alias("step"), F.round("edge", 6).alias("edge"))
+
+
+@query(_edges_sql(FEATURES, ["sentence_length", "uncommon"]))
+def readability_reference_fit(spark, sf_dir):
+    return fitted_edges(eligible(readability.features(docs(spark, sf_dir), P), spark, sf_dir), ["sentence_length", "uncommon"])
 
 
 @query(_ranks_sql(FEATURES, ["sentence_length", "uncommon"]))
 def readability_reference(spark, sf_dir):
-    f = readability.features(docs(spark, sf_dir), P)
     metrics = ["sentence_length", "uncommon"]
-    return frozen.apply_quantiles(f, frozen.fit_quantiles(f, metrics), metrics).select("row_no", *metrics, *[f"{m}_rank" for m in metrics])
+    ranked = frozen.apply_quantiles(readability.features(docs(spark, sf_dir), P), kept_quantiles(spark), metrics)
+    return ranked.select("row_no", *metrics, *[f"{m}_rank" for m in metrics])
 
 
 @query(f"SELECT row_no, {sql.per_thousand(sql.occurrences('w', P.adversatives), 'n')} AS adversatives, {sql.per_thousand(sql.occurrences('w', P.terms), 'n')} AS terms FROM (SELECT doc_id AS row_no, {sql.letters(sql.TEXT, P)} AS n, {sql.tokens(sql.TEXT, P)} AS w FROM documents)")
@@ -587,11 +666,19 @@ def topic_focus(spark, sf_dir):
 METRICS = ["cohesion", "connectives", "references"]
 
 
-@query(_ranks_sql(SURFACE.replace('"references"', "refs"), ["cohesion", "connectives", "refs"]))
+COHERENT = ["cohesion", "connectives", "refs"]
+_SURFACE_REFS = SURFACE.replace('"references"', "refs")
+
+
+@query(_edges_sql(_SURFACE_REFS, COHERENT))
+def frozen_quantile_fit(spark, sf_dir):
+    return fitted_edges(eligible(surface(spark, sf_dir).withColumnRenamed("references", "refs"), spark, sf_dir), COHERENT)
+
+
+@query(_ranks_sql(_SURFACE_REFS, COHERENT))
 def frozen_quantile(spark, sf_dir):
-    f = surface(spark, sf_dir).withColumnRenamed("references", "refs")
-    metrics = ["cohesion", "connectives", "refs"]
-    return frozen.apply_quantiles(f, frozen.fit_quantiles(f, metrics), metrics).select("row_no", *metrics, *[f"{m}_rank" for m in metrics])
+    ranked = frozen.apply_quantiles(surface(spark, sf_dir).withColumnRenamed("references", "refs"), kept_quantiles(spark), COHERENT)
+    return ranked.select("row_no", *COHERENT, *[f"{m}_rank" for m in COHERENT])
 
 
 @query()

@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 
 #: Rows a sheet can hold, a fixed value of the format.
 MOST_ROWS = 1_048_576
+#: Bytes of a workbook that are held at once while it is written.
+CHUNK = 4 << 20
+#: Paths that this session has read workbooks from: they are never written to.
+_SOURCES: set[str] = set()
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _ILLEGAL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
 
@@ -67,8 +71,28 @@ def parse(content: bytes, sheet: int = 1) -> Iterator[list[str | None]]:
                 e.clear()
 
 
-def build(header: list[str], rows: Iterable[Iterable]) -> bytes:
-    """A workbook with one sheet; numbers stay numbers, nulls are empty cells."""
+class _Pipe(io.RawIOBase):
+    """What a workbook's writer has written and nobody has taken yet; it cannot go back, so the writer does not try to."""
+
+    def __init__(self) -> None:
+        self.parts: list[bytes] = []
+        self.size = 0
+
+    def writable(self) -> bool:
+        return True
+
+    def write(self, data) -> int:
+        self.parts.append(bytes(data))
+        self.size += len(data)
+        return len(data)
+
+    def take(self) -> bytes:
+        out, self.parts, self.size = b"".join(self.parts), [], 0
+        return out
+
+
+def build(header: list[str], rows: Iterable[Iterable], chunk: int = CHUNK) -> Iterator[bytes]:
+    """A workbook with one sheet, in chunks of about so many bytes as its rows come; numbers stay numbers, nulls are empty cells."""
 
     def cells(n: int, values: Iterable) -> str:
         out = []
@@ -86,7 +110,7 @@ def build(header: list[str], rows: Iterable[Iterable]) -> bytes:
     office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     package = "http://schemas.openxmlformats.org/package/2006"
     kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
-    data = io.BytesIO()
+    data = _Pipe()
     with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("[Content_Types].xml", f'<?xml version="1.0" encoding="UTF-8"?><Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kind}.worksheet+xml"/></Types>')
         z.writestr("_rels/.rels", f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
@@ -97,8 +121,10 @@ def build(header: list[str], rows: Iterable[Iterable]) -> bytes:
             f.write(cells(1, header).encode())
             for n, row in enumerate(rows, 2):
                 f.write(cells(n, row).encode())
+                if data.size >= chunk:
+                    yield data.take()
             f.write(b"</sheetData></worksheet>")
-    return data.getvalue()
+    yield data.take()
 
 
 def read_excel(spark: SparkSession, path: str, columns: dict[str, str], sheet: int = 1, first: int = 1, last: int | None = None) -> DataFrame:
@@ -108,6 +134,7 @@ def read_excel(spark: SparkSession, path: str, columns: dict[str, str], sheet: i
     A header that is missing is an error.
     """
     names = list(columns)
+    _SOURCES.add(_plain(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,9 +161,16 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["row_no", *names])
 
 
+def _plain(path: str) -> str:
+    return re.sub(r"^file:/+", "/", path).rstrip("/")
+
+
 def write_excel(df: DataFrame, path: str, sources: tuple[str, ...] = (), order: str = "row_no") -> None:
-    """One workbook with the rows in order. A path that is a source is refused, and so are more rows than a sheet holds."""
-    if path.rstrip("/") in {s.rstrip("/") for s in sources}:
+    """One workbook with the rows in order. A path that is a source, or was read in this session, is refused, and so are more rows than a sheet holds.
+
+    The format wants one file, so one task writes it, as its rows come; neither that task nor the driver ever holds more than a few chunks.
+    """
+    if _plain(path) in {_plain(s) for s in sources} | _SOURCES:
         raise ValueError("a source is never written to")
     if df.count() >= MOST_ROWS:
         raise ValueError("more rows than a sheet holds")
@@ -144,15 +178,17 @@ def write_excel(df: DataFrame, path: str, sources: tuple[str, ...] = (), order:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (tuple(r.values()) for b in batches for r in b.to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([build(names, rows)], pa.binary())], ["content"])
+        for n, part in enumerate(build(names, rows)):
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([part], pa.binary())], ["n", "part"])
 
-    # a sheet is bounded by its format, and so is the one task that builds it
-    content = df.repartition(1).sortWithinPartitions(order).mapInArrow(run, "content binary").first()["content"]
+    # chunks come to the driver a partition at a time
+    chunks = df.repartition(1).sortWithinPartitions(order).mapInArrow(run, "n long, part binary").repartitionByRange("n").sortWithinPartitions("n")
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
     target = jvm.org.apache.hadoop.fs.Path(path)
     out = target.getFileSystem(conf).create(target, True)
     try:
-        out.write(content)
+        for row in chunks.toLocalIterator():
+            out.write(row["part"])
     finally:
         out.close()
 

@@ -1,5 +1,9 @@
 """Written cases, and properties that results must have whatever the rules."""
 
+import random
+import time
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +74,30 @@ def test_masked_grade_is_one_hit_at_its_place(spark):
     assert (hit["word"], hit["dim"], hit["start"], hit["end"]) == ("强烈", "strength", 7, 9)
 
 
+def test_company_names_are_no_hits(spark):
+    case = cases(spark).where("doc_id = -14")
+    assert sentiment.counts(case, ZH).first()["pos_raw"] == 4
+    assert sentiment.counts(case, ZH, company_col="company").first()["pos_raw"] == 2
+
+
+def test_wide_sentiment_of_a_chinese_case(spark):
+    row = sentiment.wide(sentiment.counts(cases(spark).where("doc_id in (-9, -11)"), ZH)).orderBy("row_no").collect()
+    assert len(row[0]) == 28
+    assert (row[0]["words_raw"], row[0]["words_negated"], row[0]["polarity_negated"]) == ("改善", "-改善", "negative")
+    assert (row[1]["words_raw"], row[1]["words_body"], row[1]["routine"]) == ("良好 风险 下滑 风险", "良好", 3)
+
+
+def test_long_sentences_take_time_in_proportion(spark):
+    def seconds(words):
+        df = spark.createDataFrame([(1, "mit pas und wort " * (words // 4))], "doc_id long, text string")
+        began = time.time()
+        assert sentiment.counts(df, LATIN).first()["pos_raw"] == words // 4
+        return time.time() - began
+
+    seconds(2_000)
+    assert seconds(64_000) < 8 * seconds(16_000) + 2
+
+
 def test_doubled_text_has_the_same_ratio(spark):
     d = docs(spark, SF).select("doc_id", "text")
     once = sentiment.scores(sentiment.counts(d, LATIN)).select("row_no", "ratio")
@@ -104,6 +132,30 @@ def test_frozen_tables_are_never_fitted_again(spark):
         frozen.apply_quantiles(d.withColumn("y", F.col("x")), kept, ["y"])
 
 
+def test_quantiles_are_exact(spark):
+    rng = random.Random(3)
+    values = [rng.choice([rng.gauss(0, 1), 1e300, -1e300, 0.0, rng.random() * 1e-9, 5.0]) for _ in range(3_000)]
+    d = spark.createDataFrame([(v, None if i % 3 else float(i), None) for i, v in enumerate(values)], "x double, y double, z double").repartition(4)
+    got = frozen.quantiles(d, ["x", "y", "z"])
+    assert got["x"] == pytest.approx(np.quantile(values, frozen.STEPS))
+    assert got["y"] == pytest.approx(np.quantile(range(0, 3_000, 3), frozen.STEPS))
+    assert got["z"] == [None] * 9
+    assert frozen.quantiles(d.limit(0), ["x"])["x"] == [None] * 9
+
+
+def test_references_are_saved_once_and_loaded(spark, tmp_path):
+    d = spark.range(101).select(F.col("id").cast("double").alias("x"), (F.col("id") % 2 == 0).alias("ok"))
+    frozen.save(frozen.fit_quantiles(d, ["x"], F.col("ok")), f"{tmp_path}/q")
+    frozen.save(frozen.fit_moments(d, ["x"]), f"{tmp_path}/m")
+    assert frozen.load(spark, f"{tmp_path}/q", "quantiles").first()["edges"] == pytest.approx([10.0 * i for i in range(1, 10)])
+    z = frozen.z_scores(frozen.load(spark, f"{tmp_path}/m", "moments"), ["x"])["x"]
+    assert d.agg(F.stddev_pop(z)).first()[0] == pytest.approx(1)
+    with pytest.raises(Exception, match="exist"):
+        frozen.save(frozen.fit_moments(d, ["x"]), f"{tmp_path}/m")
+    with pytest.raises(ValueError, match="frozen"):
+        frozen.z_scores(frozen.load(spark, f"{tmp_path}/m", "moments"), ["y"])
+
+
 def test_pca_signs_and_scores(spark):
     d = spark.range(50).select(F.col("id").cast("double").alias("a"), (F.col("id") * 2.0 + 1).alias("b"))
     model = frozen.fit_pca(d, ["a", "b"])
@@ -117,6 +169,23 @@ def test_merge_refuses_shared_names(spark):
         audit.merge([d, d])
 
 
+def test_merge_refuses_rows_that_do_not_match(spark):
+    a, b = spark.range(3).select(F.col("id").alias("row_no"), F.lit(1).alias("x")), spark.range(3).select(F.col("id").alias("row_no"), F.lit(2).alias("y"))
+    assert sorted(map(tuple, audit.merge([a, b]).collect())) == [(0, 1, 2), (1, 1, 2), (2, 1, 2)]
+    with pytest.raises(Exception, match="lacks the row 2"):
+        audit.merge([a, b.where("row_no < 2")]).collect()
+    with pytest.raises(Exception, match="repeats the row"):
+        audit.merge([a, b.unionByName(b)]).collect()
+
+
+def test_weights_beyond_the_broadcast_give_the_same(spark, monkeypatch):
+    d = docs(spark, SF).limit(30)
+    rows = lambda: sorted((r["row_no"], r["sid"], r["gram"], round(r["w"], 9)) for r in coherence.weighted(coherence.grams(coherence.sentence_rows(d, LATIN))).collect())
+    few = rows()
+    monkeypatch.setattr(coherence, "BROADCAST", 10)
+    assert rows() == few
+
+
 def test_empty_tables(spark):
     d = spark.createDataFrame([], "doc_id long, text string, source string")
     assert sentiment.scores(sentiment.counts(d, LATIN)).count() == 0

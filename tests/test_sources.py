@@ -1,6 +1,7 @@
 """Workbooks, lists and streams."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -25,14 +26,31 @@ def test_sources_are_not_written_to(spark):
         excel.write_excel(spark.range(1).select(F.col("id").alias("row_no")), "file:///a/b.xlsx", sources=("file:///a/b.xlsx",))
 
 
+def test_what_was_read_is_not_written_to(spark, tmp_path):
+    (tmp_path / "s.xlsx").write_bytes(b"".join(excel.build(["x"], [["1"]])))
+    got = excel.read_excel(spark, f"file://{tmp_path}/s.xlsx", {"x": "x"})
+    with pytest.raises(ValueError, match="source"):
+        excel.write_excel(got, f"{tmp_path}/s.xlsx")
+
+
+def test_a_workbook_comes_in_chunks():
+    rng = random.Random(1)
+    rows = [[i, "".join(rng.choices("abcdefghij <&", k=250))] for i in range(2_000)]
+    chunks = list(excel.build(["n", "t"], rows, chunk=2_000))
+    assert len(chunks) > 5
+    header, *got = excel.parse(b"".join(chunks))
+    assert header == ["n", "t"]
+    assert [[int(a), b] for a, b in got] == rows
+
+
 def test_missing_header_is_an_error(spark, tmp_path):
-    (tmp_path / "a.xlsx").write_bytes(excel.build(["x"], [["1"]]))
+    (tmp_path / "a.xlsx").write_bytes(b"".join(excel.build(["x"], [["1"]])))
     with pytest.raises(Exception, match="not in list"):
         excel.read_excel(spark, f"file://{tmp_path}/a.xlsx", {"y": "y"}).collect()
 
 
 def test_word_lists(spark, tmp_path):
-    (tmp_path / "w.xlsx").write_bytes(excel.build(["词"], [["强烈"], [None], ["强烈"], ["可能"]]))
+    (tmp_path / "w.xlsx").write_bytes(b"".join(excel.build(["词"], [["强烈"], [None], ["强烈"], ["可能"]])))
     got = excel.read_wordlist(spark, f"file://{tmp_path}/w.xlsx", "词", "strength", last=3).collect()
     assert [(r["word"], r["dim"]) for r in got] == [("强烈", "strength")]
 
