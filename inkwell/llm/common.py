@@ -9,6 +9,7 @@ import tempfile
 import unicodedata
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +37,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, else what the context has, else a temporary one, as in tests."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, else what the context has. Where neither is set a temporary one serves in local mode; on a cluster that is an error."""
     context = spark.sparkContext
     own = context._jsc.sc().getCheckpointDir()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or (own.get() if own.isDefined() else f"file://{tempfile.mkdtemp(prefix='inkwell-')}")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (own.get() if own.isDefined() else None)
+    if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='inkwell-')}"
     if own.isEmpty():
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -63,6 +68,24 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of a key from which ``spread_join`` deals them to ``PARTS`` tasks, and such keys at most; beyond these, keys have fewer rows than the last of them.
+HEAVY, PARTS, MOST_HEAVY = 500, 64, 2_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], times: str, by: str, how: str = "inner") -> DataFrame:
+    """Join with a table that has each key once and says in ``times`` how many rows of the left have it.
+
+    Keys with many rows are broadcast (a bounded list) and their rows dealt by ``by`` to several tasks, to each of which
+    the right row goes. The right table is read twice; it should be a checkpoint or a shuffle's outcome.
+    """
+    heavy = right.where(F.col(times) > HEAVY).orderBy(F.desc(times), *keys).limit(MOST_HEAVY).select(*[F.col(k).alias(f"__{k}") for k in keys], F.lit(True).alias("__heavy"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    part = F.pmod(F.xxhash64(by), F.lit(PARTS)).cast("int")
+    dealt = left.join(F.broadcast(heavy), same, "left").withColumn("__part", F.when(F.col("__heavy"), part).otherwise(F.lit(0))).drop("__heavy", *[f"__{k}" for k in keys])
+    every = F.when(F.col(times) > HEAVY, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(right.withColumn("__part", F.explode(every)).drop(times), [*keys, "__part"], how).drop("__part")
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -8,14 +8,16 @@ The automata are not broadcast: what they must hold grows with the input. Refere
 passages to be matched meet in shards instead, by what they have in common. Every window selects one of
 its nine 5-grams, the one with the least hash, as its anchor; equal windows select the same. Anchors in
 one text only are dropped. The windows around an anchor that select it make one passage of 13 to 21
-words; equal passages are one row with their least document. Passages with the same anchor go to the
-same shard, which builds an automaton of them and streams them through it; shards are worked through in
-chunks of a bounded number of words. Anchors in more than ``HOT`` texts go by single windows, dealt by
-the window's hash, so that a passage in a third of all documents burdens no shard. Anchors that texts
-of one slice share are known to be shared at once: their rows are dealt at random, and one witness of
-them by the anchor.
-
-Copies of a whole text take no part: all their windows occur in the first copy.
+words. Passages with the same anchor go to the same shard, which builds an automaton of the distinct
+ones and streams each through it; shards are worked through in chunks of a bounded number of words.
+
+Anchors in more than ``HOT`` texts go by single windows, dealt by the window's hash. Of equal passages or
+windows in a slice of texts only those in the least document go to a shard, the others are known to go;
+so a passage in a third of all documents is a row for each slice. Anchors that texts of one slice share
+are known to be shared at once: their rows are dealt at random, and one witness of them by the anchor.
+
+Copies of a whole text take no part: all their windows occur in the first copy. Texts are copies if two
+64-bit hashes of them agree.
 """
 
 from __future__ import annotations
@@ -30,12 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import slices, text_or_empty, written
+from inkwell.llm.common import HEAVY, MOST_HEAVY, PARTS, checkpoint, give_back, slices, text_or_empty, written
 from inkwell.llm.words import mix, shingle_hashes, word_hashes
 
 WINDOW, GRAM = 13, 5
 #: Texts with an anchor from which it goes by single windows, and words a chunk of a shard holds before it is matched.
-HOT, CHUNK = 4_000, 60_000
+HOT, CHUNK = 4_000, 30_000
+#: Such anchors up to which their list is broadcast (some 20 MB); more are joined by shuffle, each in several parts.
+MOST_HOT = 1_000_000
 _SALT = np.uint64(0x452821E638D01377)
 
 
@@ -122,36 +126,42 @@ class Automaton:
         return out
 
 
+def _hash(data: bytes) -> tuple[int, int]:
+    """128 bits, in two signed halves."""
+    x = xxhash.xxh3_128_intdigest(data)
+    return (x >> 64) - (1 << 63), (x & (1 << 64) - 1) - (1 << 63)
+
+
+def _halves(pairs: list[tuple[int, int]]) -> list[pa.Array]:
+    return [pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)]
+
+
 def _texts(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, packed, extra: every row, its text compressed, and what else it carries."""
+    """doc_id, t1, t2, packed, extra: every row, its text's hash, the text compressed, and what else the row carries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=3)
         for whole in batches:
             for batch in slices(whole):
                 texts = batch.column("text").cast(pa.binary()).to_pylist()
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_hash(t) for t in texts], pa.int64()), pa.array([zip_.compress(t) for t in texts], pa.binary()), batch.column("extra")], ["doc_id", "text_hash", "packed", "extra"])
-
-    return docs.select("doc_id", "text", "extra").mapInArrow(run, f"doc_id long, text_hash long, packed binary, extra {docs.schema['extra'].dataType.simpleString()}")
-
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_halves([_hash(t) for t in texts]), pa.array([zip_.compress(t) for t in texts], pa.binary()), batch.column("extra")], ["doc_id", "t1", "t2", "packed", "extra"])
 
-def _hash(data: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(data) - (1 << 63)
+    return docs.select("doc_id", "text", "extra").mapInArrow(run, f"doc_id long, t1 long, t2 long, packed binary, extra {docs.schema['extra'].dataType.simpleString()}")
 
 
 def _hashes(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash of every row."""
+    """doc_id, t1, t2 of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_hash(t) for t in batch.column("text").cast(pa.binary()).to_pylist()], pa.int64())], ["doc_id", "text_hash"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_halves([_hash(t) for t in batch.column("text").cast(pa.binary()).to_pylist()])], ["doc_id", "t1", "t2"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text_hash long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, t1 long, t2 long")
 
 
 def _anchors(docs: DataFrame, window: int) -> DataFrame:
-    """key, anchor, text_hash, place: the anchors of each text, once whatever its copies in the partition.
+    """key, anchor, t1, place: the anchors of each text, once whatever its copies in the partition.
 
     The key is the anchor and the anchor null, but for anchors that texts of a slice share: these rows
     have a random key, and one witness of them has the anchor as its key, and as its place the number of
@@ -161,8 +171,8 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for whole in batches:
-            for batch in slices(whole, most=8 << 20):
-                texts = {h: t for t in batch.column("text").cast(pa.binary()).to_pylist() if (h := _hash(t)) not in seen}
+            for batch in slices(whole):
+                texts = {h: t for t in batch.column("text").cast(pa.binary()).to_pylist() if (h := _hash(t)[0]) not in seen}
                 seen |= texts.keys()
                 found = [anchors(w, window)[:2] for w in word_hashes(list(texts.values()))]
                 if not found:
@@ -183,114 +193,144 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
                 w = w[shared[w]]
                 columns = [np.concatenate(x) for x in ((key, anchor[w]), (anchor, anchor[w]), (text, text[w]), (place, -times[back[w]]))]
                 given = np.concatenate([~shared, np.ones(len(w), dtype=bool)])
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32) if k == 3 else x, mask=given if k == 1 else None) for k, x in enumerate(columns)], ["key", "anchor", "text_hash", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32) if k == 3 else x, mask=given if k == 1 else None) for k, x in enumerate(columns)], ["key", "anchor", "t1", "place"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, anchor long, text_hash long, place int")
+    return docs.select("doc_id", "text").mapInArrow(run, "key long, anchor long, t1 long, place int")
 
 
-def _passages(texts: DataFrame, window: int, occurrences: bool) -> DataFrame:
-    """The passages around the anchors at the places in ``cold``, and single windows of those in ``hot``.
+def _at_places(texts: DataFrame, window: int) -> DataFrame:
+    """The passages around the anchors at the places in ``cold``, and the single windows of those in ``hot``.
 
-    Either route, id1, id2, passage and the least doc_id, equal ones of a slice as one; or all occurrences: id1, id2, text_hash, doc_id, start.
+    Of equal ones in a slice only the places in the least document are worth a row: route (the anchor, or half the
+    window's hash), id1, id2 (the words' hash), t1, doc_id, start, and for the first the words. In the slice's other
+    documents all their windows go; these come as one row a document, in ``gone``.
     """
+    names = ["route", "id1", "id2", "t1", "doc_id", "start", "passage", "gone"]
+    types = [*[pa.int64()] * 5, pa.int32(), pa.binary(), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
         for whole in batches:
             for batch in slices(whole, "packed", 1 << 20):
-                least: dict[tuple[int | None, bytes], int] = {}
-                found: list[tuple[bytes, int, int, int]] = []
-                for d, h, packed, cold, hot in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "packed", "cold", "hot")), strict=True):
-                    text = unzip.decompress(packed)
+                least: dict[bytes, int] = {}
+                found: dict[bytes, list[tuple[int, int]]] = {}
+                routes: dict[bytes, int] = {}
+                plain = [unzip.decompress(x) for x in batch.column("packed").to_pylist()]
+                t1, doc = (batch.column(c).to_pylist() for c in ("t1", "doc_id"))
+                for n, (text, hashes, d, cold, hot) in enumerate(zip(plain, word_hashes(plain), doc, *(batch.column(c).to_pylist() for c in ("cold", "hot")), strict=True)):
                     words = text.split()
-                    anchor, place, first, last = anchors(word_hashes([text])[0], window)
-                    for which, single in ((cold, False), (hot, True)):
-                        if not which:
+                    anchor, place, first, last = anchors(hashes, window)
+                    for at, single in ((cold, False), (hot, True)):
+                        if not at:
                             continue
-                        for k in np.flatnonzero(np.isin(place, which)).tolist():
-                            lo, hi = int(first[k]), int(last[k])
+                        chosen = np.flatnonzero(np.isin(place, at))
+                        for a, lo, hi in zip(anchor[chosen].tolist(), first[chosen].tolist(), last[chosen].tolist(), strict=True):
                             for s, e in ((s, s + window) for s in range(lo, hi + 1)) if single else ((lo, hi + window),):
                                 data = b" ".join(words[s:e])
-                                if occurrences:
-                                    found.append((data, h, d, s))
-                                else:
-                                    key = (None if single else int(anchor[k]), data)
-                                    least[key] = min(d, least.get(key, d))
-                ids = [xxhash.xxh3_128_intdigest(x[0] if occurrences else x[1]) for x in (found if occurrences else least)]
-                id1, id2 = [(x >> 64) - (1 << 63) for x in ids], [(x & (1 << 64) - 1) - (1 << 63) for x in ids]
-                if occurrences:
-                    columns = [id1, id2, *([x[i] for x in found] for i in (1, 2, 3))]
-                else:
-                    columns = [[i if k[0] is None else k[0] for i, k in zip(id1, least, strict=True)], id1, id2, [k[1] for k in least], list(least.values())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if occurrences and i == 4 else pa.binary() if not occurrences and i == 3 else pa.int64()) for i, c in enumerate(columns)], list(map(str, range(5))))
-
-    schema = "id1 long, id2 long, text_hash long, doc_id long, start int" if occurrences else "route long, id1 long, id2 long, passage binary, doc_id long"
-    return texts.select("doc_id", "text_hash", "packed", "extra", "cold", "hot").mapInArrow(run, schema)
+                                places = found.get(data)
+                                if places is None:
+                                    found[data], least[data] = [(n, s)], d
+                                    if not single:
+                                        routes[data] = a
+                                    continue
+                                places.append((n, s))
+                                if d < least[data]:
+                                    least[data] = d
+                out: list[list] = [[] for _ in names]
+                gone: dict[int, list[int]] = {}
+                for data, places in found.items():
+                    d = least[data]
+                    known = None
+                    for n, s in places:
+                        if doc[n] > d:
+                            gone.setdefault(n, []).extend(range(s, s + data.count(b" ") + 2 - window))
+                        else:
+                            id1, id2 = known or _hash(data)
+                            for column, x in zip(out, (routes.get(data, id1), id1, id2, t1[n], d, s, None if known else data, None), strict=True):
+                                column.append(x)
+                            known = id1, id2
+                for n, starts in gone.items():
+                    for column, x in zip(out, (t1[n], None, None, t1[n], doc[n], None, None, starts), strict=True):
+                        column.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names)
+
+    # with the same columns as the result has, so that one shuffle of the texts serves both
+    return texts.select("packed", "t1", "doc_id", "cold", "hot", "extra").mapInArrow(run, "route long, id1 long, id2 long, t1 long, doc_id long, start int, passage binary, gone array<int>")
 
 
 def _shards(passages: DataFrame, window: int) -> DataFrame:
-    """id1, id2, least (for each window of a passage, the least document that has it), by automata over each shard's chunks."""
-
-    def matched(groups: list[list[tuple[bytes, int, int, int]]]) -> Iterator[tuple[int, int, list[int]]]:
-        automaton = None
-        alone = [g for g in groups if len(g) == 1]
-        for (data, id1, id2, d), in alone:
-            yield id1, id2, [d] * (data.count(b" ") + 2 - window)
-        several = [[(data.split(b" "), id1, id2, d) for data, id1, id2, d in g] for g in groups if len(g) > 1]
-        if several:
-            automaton = Automaton()
-            for g in several:
-                for words, _, _, d in g:
-                    automaton.add(words, d)
-            automaton.finish()
-            for g in several:
-                for words, id1, id2, _ in g:
-                    yield id1, id2, automaton.match(words, window)
+    """t1, doc_id, s: the windows (by their place) that go, by automata over each shard's chunks."""
+    dealt = passages.repartition(F.col("route")).sortWithinPartitions("route", "id1", "id2", F.col("passage").isNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: list[list[tuple[bytes, int, int, int]]] = []
-        size, route = 0, None
+        # of each passage of a chunk its words, and the places it stands at: t1, doc_id and start
+        held: list[tuple[list[bytes], list[tuple[int, int, int]]]] = []
+        known: list[tuple[int, int, list[int]]] = []
+        size, route, passage = 0, None, None
 
         def out() -> pa.RecordBatch:
-            rows = list(matched(groups))
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64())))], ["id1", "id2", "least"])
+            automaton = Automaton()
+            for words, places in held:
+                automaton.add(words, min(d for _, d, _ in places))
+            automaton.finish()
+            gone = known
+            for words, places in held:
+                least = automaton.match(words, window)
+                low = min(least)
+                for t1, d, start in places:
+                    if low < d:
+                        gone.append((t1, d, [start + i for i, x in enumerate(least) if x < d]))
+            return pa.RecordBatch.from_arrays([pa.array([g[i] for g in gone], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int32())))], ["t1", "doc_id", "s"])
 
         for batch in batches:
-            for r, id1, id2, data, d in zip(*(batch.column(c).to_pylist() for c in ("route", "id1", "id2", "passage", "least")), strict=True):
-                if r != route:
-                    if size > CHUNK:
-                        yield out()
-                        groups, size = [], 0
-                    groups.append([])
-                    route = r
-                groups[-1].append((data, id1, id2, d))
-                size += data.count(b" ") + 1
-        if groups:
-            yield out()
-
-    once = passages.repartition(F.col("route")).groupBy("route", "id1", "id2").agg(F.first("passage").alias("passage"), F.min("doc_id").alias("least"))
-    dealt = once.sortWithinPartitions("route")
-    return dealt.select("route", "id1", "id2", "passage", "least").mapInArrow(run, "id1 long, id2 long, least array<long>")
+            for r, id1, id2, t1, d, start, data, gone in zip(*(batch.column(c).to_pylist() for c in ("route", "id1", "id2", "t1", "doc_id", "start", "passage", "gone")), strict=True):
+                if gone is not None:
+                    known.append((t1, d, gone))
+                    continue
+                if r != route and size > CHUNK:
+                    yield out()
+                    held, size, known = [], 0, []
+                if (r, id1, id2) != (route, *(passage or ())):
+                    words = data.split(b" ")
+                    held.append((words, []))
+                    size += len(words)
+                    route, passage = r, (id1, id2)
+                held[-1][1].append((t1, d, start))
+        yield out()
+        give_back()
+
+    return dealt.mapInArrow(run, "t1 long, doc_id long, s array<int>")
 
 
 def removed_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """The rows with their texts (doc_id, text_hash, packed, is_first of its copies), and the windows that go of first copies (text_hash, windows)."""
-    rows = _texts(docs).join(_hashes(docs).groupBy("text_hash").agg(F.min("doc_id").alias("first")), "text_hash")
-    # said in a way that is not taken for a key of the join, so that the texts are dealt by their hash alone, once
-    rows = rows.withColumn("is_first", F.coalesce(F.col("doc_id") <= F.col("first"), F.lit(False)))
+    """The rows with their texts (doc_id, t1, part, packed, is_first of its copies), and the windows that go of first copies (t1, of_doc, windows)."""
+    copies = checkpoint(_hashes(docs).groupBy("t1", "t2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    # copies of a text with many are known from a broadcast list of bounded length, and all but the first dealt at random
+    heavy = copies.where(F.col("n") > HEAVY).orderBy(F.desc("n"), "t1", "t2").limit(MOST_HEAVY).select(F.col("t1").alias("c1"), F.col("t2").alias("c2"), F.col("first").alias("known"))
+    rows = _texts(docs).join(F.broadcast(heavy), (F.col("t1") == F.col("c1")) & (F.col("t2") == F.col("c2")), "left").drop("c1", "c2")
+    rows = rows.withColumn("part", F.when(F.col("doc_id") > F.col("known"), 1 + F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")).otherwise(F.lit(0)))
+    # one row for each text, and for those on the list one for each part; parts of t1 alone are the key of all joins of the texts, so that they are shuffled once
+    on_list = F.when(F.col("n") > HEAVY, F.sequence(F.lit(0), F.lit(PARTS))).otherwise(F.array(F.lit(0)))
+    firsts = copies.select(F.col("t1"), F.col("t2").alias("c2"), "first", F.explode(on_list).alias("part"))
+    rows = rows.join(firsts, ["t1", "part"]).where(F.col("t2").bitwiseXOR(F.col("c2")) == 0)
+    rows = rows.withColumn("is_first", F.coalesce(F.col("doc_id") <= F.col("first"), F.lit(False))).drop("c2", "first", "known", "t2")
     key = W.partitionBy("key")
-    dealt = _anchors(docs, window).withColumns({"lo": F.min("text_hash").over(key), "hi": F.max("text_hash").over(key), "texts": F.sum(F.greatest(F.lit(1), -F.col("place"))).over(key)})
-    shared = written(dealt.where("place < 0 OR anchor IS NOT NULL OR lo < hi").select(F.coalesce("anchor", "key").alias("anchor"), "text_hash", "place", (F.col("anchor").isNull() & (F.col("texts") > HOT)).alias("many")))
-    hot = shared.where("many").select("anchor").distinct().withColumn("is_hot", F.lit(True))
-    found = shared.where("place >= 0").select("anchor", "text_hash", "place").join(hot, "anchor", "left")
-    places = found.groupBy("text_hash").agg(F.collect_set(F.when(F.col("is_hot").isNull(), F.col("place"))).alias("cold"), F.collect_set(F.when(F.col("is_hot"), F.col("place"))).alias("hot"))
-    # the same columns as in the result, so that one shuffle of the texts serves both
-    around = rows.where("is_first").join(places, "text_hash")
-    least = _shards(_passages(around, window, False), window)
-    gone = _passages(around, window, True).join(least, ["id1", "id2"])
-    starts = gone.select("text_hash", F.filter(F.transform("least", lambda d, i: F.when(d < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull()).alias("s")).where(F.size("s") > 0)
-    windows = starts.groupBy("text_hash").agg(F.flatten(F.collect_list("s")).alias("windows"))
-    return rows, windows
+    dealt = _anchors(docs, window).withColumns({"lo": F.min("t1").over(key), "hi": F.max("t1").over(key), "texts": F.sum(F.greatest(F.lit(1), -F.col("place"))).over(key)})
+    shared = written(dealt.where("place < 0 OR anchor IS NOT NULL OR lo < hi").select(F.coalesce("anchor", "key").alias("anchor"), "t1", "place", (F.col("anchor").isNull() & (F.col("texts") > HOT)).alias("many")))
+    hot = shared.where("many").select("anchor").distinct()
+    found = shared.where("place >= 0").select("anchor", "t1", "place")
+    if hot.limit(MOST_HOT + 1).count() <= MOST_HOT:
+        found = found.join(F.broadcast(hot.withColumn("is_hot", F.lit(True))), "anchor", "left")
+    else:
+        parts = hot.select("anchor", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), F.lit(True).alias("is_hot"))
+        found = found.withColumn("part", F.pmod("t1", F.lit(PARTS)).cast("int")).join(parts, ["anchor", "part"], "left")
+    places = found.groupBy("t1").agg(F.collect_set(F.when(F.col("is_hot").isNull(), F.col("place"))).alias("cold"), F.collect_set(F.when(F.col("is_hot"), F.col("place"))).alias("hot"))
+    # always 0, but not so plainly that it is left out of the join
+    zero = F.pmod("t1", F.lit(1)).cast("int")
+    around = rows.where("is_first").join(places.withColumn("part", zero), ["t1", "part"])
+    gone = _shards(_at_places(around, window), window)
+    windows = gone.groupBy("t1", F.col("doc_id").alias("of_doc")).agg(F.flatten(F.collect_list("s")).alias("windows"))
+    return rows, windows.withColumn("part", zero)
 
 
 def covered(n: int, starts: list[int] | None, window: int) -> np.ndarray:
@@ -325,7 +365,8 @@ def keep_words(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = (
                     n_removed.append(n - len(kept))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), batch.column("extra")], ["doc_id", "text", "n_words", "n_removed", "extra"])
 
-    joined = rows.join(windows, "text_hash", "left").select("doc_id", "packed", "is_first", "windows", "extra")
+    own = (rows["t1"] == windows["t1"]) & (rows["part"] == windows["part"]) & (F.col("doc_id").bitwiseXOR(F.col("of_doc")) == 0)
+    joined = rows.join(windows, own, "left").select("doc_id", "packed", "is_first", "windows", "extra")
     named = joined.mapInArrow(run, f"doc_id long, text string, n_words long, n_removed long, extra {docs.schema['extra'].dataType.simpleString()}")
     words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
     nameless = docs.where("doc_id IS NULL").select("doc_id", F.array_join(words, " ").alias("text"), F.size(words).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), "extra")
