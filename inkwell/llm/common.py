@@ -9,7 +9,6 @@ import tempfile
 import unicodedata
 import uuid
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -68,22 +67,24 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Rows of a key from which ``spread_join`` deals them to ``PARTS`` tasks, and such keys at most; beyond these, keys have fewer rows than the last of them.
+#: Rows of a key from which they are dealt to ``PARTS`` tasks, and such keys at most; beyond these, keys have fewer rows than the last of them.
 HEAVY, PARTS, MOST_HEAVY = 500, 64, 2_000
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], times: str, by: str, how: str = "inner") -> DataFrame:
-    """Join with a table that has each key once and says in ``times`` how many rows of the left have it.
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """Join with a table that has each key once. Keys with many rows on the left are counted first; their rows are dealt by ``by`` to several tasks, to each of which the right row goes.
 
-    Keys with many rows are broadcast (a bounded list) and their rows dealt by ``by`` to several tasks, to each of which
-    the right row goes. The right table is read twice; it should be a checkpoint or a shuffle's outcome.
+    The left is read twice; it should be a checkpoint, or cheap.
     """
-    heavy = right.where(F.col(times) > HEAVY).orderBy(F.desc(times), *keys).limit(MOST_HEAVY).select(*[F.col(k).alias(f"__{k}") for k in keys], F.lit(True).alias("__heavy"))
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
-    part = F.pmod(F.xxhash64(by), F.lit(PARTS)).cast("int")
-    dealt = left.join(F.broadcast(heavy), same, "left").withColumn("__part", F.when(F.col("__heavy"), part).otherwise(F.lit(0))).drop("__heavy", *[f"__{k}" for k in keys])
-    every = F.when(F.col(times) > HEAVY, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
-    return dealt.join(right.withColumn("__part", F.explode(every)).drop(times), [*keys, "__part"], how).drop("__part")
+    heavy = [r[0] for r in left.groupBy(key).count().where(F.col("count") > HEAVY).orderBy(F.desc("count"), key).limit(MOST_HEAVY).select(key).collect() if r[0] is not None]
+    if not heavy:
+        return left.join(right, key, how)
+    listed = F.broadcast(left.sparkSession.createDataFrame([(k, 1) for k in heavy], [key, "__heavy"]))
+    part = F.when(F.col("__heavy") == 1, F.pmod(F.xxhash64(by), F.lit(PARTS)).cast("int")).otherwise(F.lit(0))
+    every = F.when(F.col("__heavy") == 1, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = left.join(listed, key, "left").withColumn("__part", part).drop("__heavy")
+    copied = right.join(listed, key, "left").withColumn("__part", F.explode(every)).drop("__heavy")
+    return dealt.join(copied, [key, "__part"], how).drop("__part")
 
 
 def text_or_empty(column: str = "text"):

@@ -19,16 +19,22 @@ partition gets the rows of a frequent token.
 
 Bound: if a node's last token in common with a member, within the prefixes, is its i-th, and c of the
 first i are in the group, the two have no more in common than c and what the shorter one has behind.
-Groups whose greatest bound over the matches falls short are not opened. In an opened group the node is
-held against each member by sketches (the parity of the number of tokens in each of some classes),
-which bound the symmetric difference from below; what remains is verified on the texts.
-
-Links between groups and within them give the components, by large and small stars.
+Groups whose greatest bound over the matches falls short are not opened.
+
+One link joins two groups, so a node that asks for a group is first held against a few members that
+share its rarest and its last matching token; pairs whose groups a link has joined by then are done. What
+is still apart asks again, for the parts of the group: sets that agree in all min-hashes, with tokens
+and bounds of their own. Only in the parts that these bounds open is the node held against each member,
+by sketches (the parity of the number of tokens in each of some classes), which bound the symmetric
+difference from below; what remains is verified on the texts.
+
+Links between groups and within them give the components, by large and small stars. Joins by a node, a
+text, a min-hash or a component that many rows have deal these to several tasks. Sets and texts whose
+64-bit hashes are the same are told apart by a second one.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import checkpoint, slices, text_or_empty, written
+from inkwell.llm.common import HEAVY, MOST_HEAVY, PARTS, checkpoint, slices, spread_join, text_or_empty, written
 from inkwell.llm.components import connected_components
 from inkwell.llm.words import LOWER, mix, shingle_hashes, word_hashes
 
@@ -66,10 +72,19 @@ def _hash(data: bytes) -> int:
     return xxhash.xxh3_64_intdigest(data) - (1 << 63)
 
 
+def _check(data: bytes) -> int:
+    """A second hash, independent of the first."""
+    return xxhash.xxh64_intdigest(data, 1) - (1 << 63)
+
+
 def _node(tokens: np.ndarray) -> int:
     return _hash(tokens.tobytes())
 
 
+def _node_check(tokens: np.ndarray) -> int:
+    return _check(tokens.tobytes())
+
+
 def _minima(tokens: np.ndarray) -> list[int]:
     """Hashes of pairs of min-hashes: two sets agree in one with the square of their similarity."""
     least = np.array([mix(tokens.view(np.uint64) ^ x).min() for x in _SALTS[:ROUNDS]], dtype=np.uint64)
@@ -92,11 +107,11 @@ def differing(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-_BASE = "doc_id long, text_hash long, node long, n long, minima array<long>, sketch binary"
+_BASE = "doc_id long, text_hash long, text_check long, node long, node_check long, n long, minima array<long>, sketch binary"
 
 
 def _profile(docs: DataFrame, words: int) -> DataFrame:
-    """For each document the hash of its text, its node (the set's hash), set size, min-hashes and sketch."""
+    """For each document the hash of its text, its node (the set's hash), a second hash of either, set size, min-hashes and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -104,8 +119,10 @@ def _profile(docs: DataFrame, words: int) -> DataFrame:
                 texts = batch.column("text").cast(pa.binary()).to_pylist()
                 sets = shingle_sets(texts, words)
                 minima = [_minima(s) if len(s) else [] for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(_hash, texts), pa.int64()), pa.array(map(_node, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(minima, pa.list_(pa.int64())), pa.array([_sketch(s) if len(s) else None for s in sets], pa.binary())], ["doc_id", "text_hash", "node", "n", "minima", "sketch"])
+                longs = [pa.array(x, pa.int64()) for x in (map(_hash, texts), map(_check, texts), map(_node, sets), map(_node_check, sets), map(len, sets))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *longs, pa.array(minima, pa.list_(pa.int64())), pa.array([_sketch(s) if len(s) else None for s in sets], pa.binary())], names)
 
+    names = [c.split()[0] for c in _BASE.split(", ")]
     return docs.mapInArrow(run, _BASE)
 
 
@@ -122,49 +139,48 @@ def _frequent(docs: DataFrame, words: int) -> np.ndarray:
                     yield pa.RecordBatch.from_arrays([pa.array(token, pa.int64()), pa.array(times, pa.int64())], ["token", "times"])
 
     counts = docs.mapInArrow(run, "token long, times long").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= OFTEN)
-    rows = counts.orderBy(F.desc("times"), "token").limit(FREQUENT).select("token").toPandas()
-    return np.sort(rows["token"].to_numpy(dtype=np.int64))
+    counts = checkpoint(counts.withColumn("step", F.floor(8 * F.log2("times")).cast("int")))
+    # from which step on there are few enough, by the number of tokens of every step
+    room, least = FREQUENT, None
+    for r in sorted(counts.groupBy("step").count().collect(), key=lambda r: -r["step"]):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["step"]
+    if least is None:
+        return np.empty(0, dtype=np.int64)
+    return np.sort(counts.where(F.col("step") >= least).select("token").toArrow().column("token").to_numpy())
 
 
 def _filter(hashes: DataFrame) -> np.ndarray:
-    """A bit for the low bits of each hash, in a table of ``FILTER_BITS``: of fixed size, whatever the input."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS >> 3, dtype=np.uint8)
-        for batch in batches:
-            _mark(bits, batch.column("text_hash").to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)])], ["bits"])
-
-    out = np.zeros(FILTER_BITS >> 3, dtype=np.uint8)
-    for row in hashes.select("text_hash").coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
-        out |= np.frombuffer(zlib.decompress(row["bits"]), dtype=np.uint8)
-    return out
-
-
-def _mark(bits: np.ndarray, hashes: np.ndarray) -> None:
-    at = hashes & (FILTER_BITS - 1)
-    np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    """A bit for the low bits of each hash, in a table of ``FILTER_BITS``: of fixed size, whatever the input. Bits are gathered by 64 before they come here."""
+    at = F.col("text_hash").bitwiseAND(F.lit(FILTER_BITS - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    found = hashes.select(F.shiftright(at, 6).cast("int").alias("place"), bit.alias("bit")).groupBy("place").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS >> 6, dtype="<i8")
+    out[found.column("place").to_numpy()] = found.column("bits").to_numpy()
+    return out.view(np.uint8)
 
 
 def _packed(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """text_hash, packed: the texts whose hash may be wanted, compressed; of copies in a partition one."""
+    """text_hash, text_check, packed: the texts whose hash may be wanted, compressed; of copies in a partition one."""
     spread = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_, bits = zstandard.ZstdCompressor(level=3), spread.value
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for whole in batches:
             for batch in slices(whole):
                 found = {}
                 for t in batch.column("text").cast(pa.binary()).to_pylist():
                     h = _hash(t)
                     at = h & (FILTER_BITS - 1)
-                    if bits[at >> 3] >> (at & 7) & 1 and h not in seen:
-                        seen.add(h)
-                        found[h] = t
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([zip_.compress(t) for t in found.values()], pa.binary())], ["text_hash", "packed"])
+                    if bits[at >> 3] >> (at & 7) & 1 and (both := (h, _check(t))) not in seen:
+                        seen.add(both)
+                        found[both] = t
+                yield pa.RecordBatch.from_arrays([*(pa.array([h[i] for h in found], pa.int64()) for i in (0, 1)), pa.array([zip_.compress(t) for t in found.values()], pa.binary())], ["text_hash", "text_check", "packed"])
 
-    return docs.mapInArrow(run, "text_hash long, packed binary")
+    return docs.mapInArrow(run, "text_hash long, text_check long, packed binary")
 
 
 def _possible(pairs: DataFrame, similar: int, schema: str) -> DataFrame:
@@ -224,18 +240,27 @@ def _opened(asking: DataFrame, members: DataFrame, sketches: DataFrame, similar:
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similar: int) -> DataFrame:
-    """The pairs (u, v) of nodes whose texts' sets are similar enough; ``nodes`` has n, sketch and text_hash of each node.
+    """The pairs (u, v) of nodes whose texts' sets are similar enough; ``nodes`` has n, sketch and the text of each node. ``pairs`` is a checkpoint.
 
     Pairs whose sketches differ in more places than sets so similar can are dropped first. Texts that no pair needs stay where they are: a filter of fixed size, in which every hash that is
-    wanted has its bit, goes to the scan. Where it is full it lets all texts pass, and the join decides.
+    wanted has its bit, goes to the scan. Where it is full it lets all texts pass, and the join decides. A node in many pairs is dealt to several tasks.
     """
-    for end in ("u", "v"):
-        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("text_hash").alias(f"{end}_text"), F.col("sketch").alias(f"{end}_sketch"), F.col("n").alias(f"{end}_n")), end)
-
-    pairs = checkpoint(_possible(pairs, similar, "u long, v long, u_text long, v_text long"))
-    wanted = pairs.select(F.col("u_text").alias("text_hash")).unionByName(pairs.select(F.col("v_text").alias("text_hash"))).distinct()
-    texts = _packed(docs, _filter(wanted)).dropDuplicates(["text_hash"])
-    both = pairs.join(texts.select(F.col("text_hash").alias("v_text"), F.col("packed").alias("b")), "v_text").join(texts.select(F.col("text_hash").alias("u_text"), F.col("packed").alias("a")), "u_text")
+    for end, other in (("u", "v"), ("v", "u")):
+        pairs = spread_join(pairs, nodes.select(F.col("node").alias(end), F.col("text").alias(f"{end}_text"), F.col("sketch").alias(f"{end}_sketch"), F.col("n").alias(f"{end}_n")), end, other)
+
+    pairs = checkpoint(_possible(pairs, similar, "u long, v long, u_text struct<h:long,c:long>, v_text struct<h:long,c:long>"))
+    wanted = pairs.select(F.col("u_text.h").alias("text_hash")).unionByName(pairs.select(F.col("v_text.h").alias("text_hash")))
+    texts = _packed(docs, _filter(wanted)).dropDuplicates(["text_hash", "text_check"]).select(F.struct(F.col("text_hash").alias("h"), F.col("text_check").alias("c")).alias("text"), "packed")
+    both = pairs.join(texts.select(F.col("text").alias("u_text"), F.col("packed").alias("a")), "u_text")
+    many = [r["v"] for r in pairs.groupBy("v").count().where(F.col("count") > HEAVY).orderBy(F.desc("count"), "v").limit(MOST_HEAVY).collect()]
+    other = texts.select(F.col("text").alias("v_text"), F.col("packed").alias("b"))
+    if many:
+        listed = F.broadcast(pairs.where(F.col("v").isin(many)).select("v_text").distinct().withColumn("heavy", F.lit(1)))
+        both = both.join(listed, "v_text", "left").withColumn("part", F.when(F.col("heavy") == 1, F.pmod(F.xxhash64("u"), F.lit(PARTS)).cast("int")).otherwise(F.lit(0))).drop("heavy")
+        other = other.join(listed, "v_text", "left").withColumn("part", F.explode(F.when(F.col("heavy") == 1, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0))))).drop("heavy")
+        both = both.join(other, ["v_text", "part"])
+    else:
+        both = both.join(other, "v_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
@@ -261,21 +286,23 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, si
     return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def _prefixes(docs: DataFrame, frequent: np.ndarray, words: int, similar: int) -> DataFrame:
+def _prefixes(docs: DataFrame, frequent: np.ndarray, renamed: set[int], words: int, similar: int) -> DataFrame:
     """key, token, node, at: the prefix of every set in the order that has frequent tokens last.
 
     ``at`` has the set's size in its upper half and the place (from 1) in its lower. The key is the token
     and the token null, but for tokens that are shared within the slice: these rows have a random key,
-    and one witness of them, whose ``at`` is -1, has the token as its key.
+    and one witness of them, whose ``at`` is -1, has the token as its key. Nodes in ``renamed`` go by their second hash.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for whole in batches:
-            for batch in slices(whole, most=8 << 20):
+            for batch in slices(whole):
                 rows = []
                 for s in shingle_sets(batch.column("text").cast(pa.binary()).to_pylist(), words):
                     k = _node(s)
+                    if k in renamed:
+                        k = _node_check(s)
                     if not len(s) or k in seen:
                         continue
                     seen.add(k)
@@ -303,6 +330,35 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, words: int, similar: int) -
     return docs.mapInArrow(run, "key long, token long, node long, at long")
 
 
+def _asked(met: DataFrame, similar: int) -> DataFrame:
+    """node, grp, only, w: the groups that may hold a set similar to the node's, from its matches with their tokens; w has some members that share such a token.
+
+    A member whose last match is this one has no more in common than the matches so far and what either has behind it.
+    """
+    met = met.where((F.lit(100) * F.col("most") >= F.lit(similar) * F.col("n")) & (F.lit(100) * F.col("n") >= F.lit(similar) * F.col("least")))
+    met = met.withColumn("c", F.row_number().over(W.partitionBy("node", "grp").orderBy("place")))
+    ends = [f(F.struct("place", "low", "high")).alias(name) for f, name in ((F.min, "rarest"), (F.max, "last"))]
+    hits = met.groupBy("node", "grp").agg(F.first("only").alias("only"), F.first("n").alias("n"), F.min("least").alias("least"), F.max(F.col("c") + F.least(F.col("n") - F.col("place"), F.col("room"))).alias("common"), *ends)
+    size = F.greatest(F.col("least"), F.ceil(F.col("n") * similar / 100))
+    opened = hits.where(F.lit(100 + similar) * F.col("common") >= F.lit(similar) * (F.col("n") + size))
+    return opened.select("node", "grp", "only", F.array_distinct(F.array("rarest.low", "rarest.high", "last.low", "last.high")).alias("w"))
+
+
+def _matrix(cells: DataFrame, *keys: str) -> DataFrame:
+    """token and grp: sizes, the most that a member has behind the token, and two of the members that have it; ``only`` if the group has one member at all."""
+    alone = cells.groupBy("grp").agg(F.min("node").alias("member"), F.max("node").alias("other")).select("grp", F.when(F.col("member") == F.col("other"), F.col("member")).alias("only"))
+    matrix = cells.groupBy("token", "grp", *keys).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("place")).alias("room"), F.min("node").alias("low"), F.max("node").alias("high"))
+    return matrix.join(alone, "grp")
+
+
+def _still_apart(opened: DataFrame, components: DataFrame) -> DataFrame:
+    """The node and group pairs that no link has joined yet."""
+    name = lambda end, out: components.select(F.col("node").alias(end), F.col("component").alias(out))
+    named = spread_join(opened, name("node", "one"), "node", "grp", "left")
+    named = spread_join(checkpoint(named), name("grp", "other"), "grp", "node", "left")
+    return named.where(F.coalesce("one", "node") != F.coalesce("other", "grp")).drop("one", "other")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the least doc_id reachable by links).
 
@@ -312,43 +368,53 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     rows = written(_profile(docs, words))
     frequent = _frequent(docs, words)
-    nodes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("minima").alias("minima"), F.first("sketch").alias("sketch"))
-    by_hash = nodes.select("node", "n", F.posexplode("minima").alias("round", "hash"))
+    # two sets with one hash (a few at most, at any size) go by their second hash
+    renamed = {r["node"] for r in rows.groupBy("node").agg(F.min("node_check").alias("a"), F.max("node_check").alias("b")).where("a < b").select("node").collect()}
+    if renamed:
+        rows = rows.withColumn("node", F.when(F.col("node").isin(*renamed), F.col("node_check")).otherwise(F.col("node")))
+    nodes = written(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct(F.col("text_hash").alias("h"), F.col("text_check").alias("c"))).alias("text"), F.first("n").alias("n"), F.first("minima").alias("minima"), F.first("sketch").alias("sketch")))
+    by_hash = nodes.select("node", "n", F.posexplode("minima").alias("round", "hash")).withColumn("bucket", F.xxhash64("round", "hash"))
     # a bucket's leaders are the least nodes of its parts, so that few members are like none of them
-    leaders = by_hash.groupBy("round", "hash", F.pmod(F.xxhash64("node"), F.lit(LEADERS)).alias("part")).agg(F.min(F.struct("node", "n")).alias("leader"))
+    leaders = by_hash.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(LEADERS)).alias("part")).agg(F.min(F.struct("node", "n")).alias("leader"), F.count("*").alias("times"))
+    leaders = checkpoint(leaders.groupBy("bucket").agg(F.collect_list("leader").alias("leaders"), F.sum("times").alias("times")).where("times > 1").drop("times"))
     fits = lambda a, b: (F.lit(100) * a >= F.lit(similar) * b) & (F.lit(100) * b >= F.lit(similar) * a)
-    led = by_hash.join(leaders, ["round", "hash"]).where(F.col("node") > F.col("leader.node")).where(fits(F.col("n"), F.col("leader.n")))
+    led = spread_join(by_hash.select("bucket", "node", "n"), leaders, "bucket", "node").select("node", "n", F.explode("leaders").alias("leader"))
+    led = led.where(F.col("node") > F.col("leader.node")).where(fits(F.col("n"), F.col("leader.n")))
     links = checkpoint(verified(checkpoint(led.select(F.col("node").alias("u"), F.col("leader.node").alias("v")).distinct()), nodes, docs, words, similar))
     groups = connected_components(links).withColumnRenamed("component", "grp")
 
     # the matrix: prefix tokens of more than one node, then of more than one group
     key, in_order = W.partitionBy("key"), W.partitionBy("key").orderBy("node")
-    prefixes = _prefixes(docs, frequent, words, similar).withColumns({"before": F.lag("node").over(in_order), "lo": F.min("node").over(key), "hi": F.max("node").over(key)})
+    prefixes = _prefixes(docs, frequent, renamed, words, similar).withColumns({"before": F.lag("node").over(in_order), "lo": F.min("node").over(key), "hi": F.max("node").over(key)})
     shared = prefixes.where("at >= 0 AND (token IS NOT NULL OR lo < hi) AND NOT node <=> before")
     shared = shared.select(F.coalesce("token", "key").alias("token"), "node", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("place"))
     grouped = written(shared.join(groups, "node", "left").withColumn("grp", F.coalesce("grp", "node")))
     several = grouped.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
     cells = written(grouped.join(several, "token", "left_semi"))
-    alone = cells.groupBy("grp").agg(F.min("node").alias("member"), F.max("node").alias("other")).select("grp", F.when(F.col("member") == F.col("other"), F.col("member")).alias("only"))
-    matrix = cells.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("place")).alias("room")).join(alone, "grp")
-
-    def possible(common, n, m):
-        """Whether sets of n and m members with at most so many in common can be similar enough."""
-        return F.lit(100 + similar) * common >= F.lit(similar) * (n + m)
-
     q = cells.select("token", "node", "n", "place", F.col("grp").alias("own"))
-    met = q.join(matrix, "token").where("own > grp").where((F.lit(100) * F.col("most") >= F.lit(similar) * F.col("n")) & (F.lit(100) * F.col("n") >= F.lit(similar) * F.col("least")))
-    # a member whose last match is this one has no more in common than the matches so far and what either has behind it
-    met = met.withColumn("c", F.row_number().over(W.partitionBy("node", "grp").orderBy("place")))
-    hits = met.groupBy("node", "grp").agg(F.first("only").alias("only"), F.first("n").alias("n"), F.min("least").alias("least"), F.max(F.col("c") + F.least(F.col("n") - F.col("place"), F.col("room"))).alias("common"))
-    opened = checkpoint(hits.where(possible(F.col("common"), F.col("n"), F.greatest(F.col("least"), F.ceil(F.col("n") * similar / 100)))).select("node", "grp", "only"))
-    # a group of one node is opened by now; of the others each member that has a token of the matrix is held against the node by its sketch
-    pairs = _opened(opened.where("only IS NULL").select("grp", "node"), cells.select("grp", "node").distinct(), nodes.select("node", "n", "sketch"), similar)
-    pairs = pairs.unionByName(opened.where("only IS NOT NULL").select(F.col("node").alias("u"), F.col("only").alias("v")))
-    more = verified(pairs, nodes, docs, words, similar)
-    components = connected_components(links.unionByName(more))
+    opened = checkpoint(_asked(q.join(_matrix(cells), "token").where("own > grp"), similar))
+
+    # one link joins two groups, so the members that are likeliest are tried first, a bounded number for each node and group
+    likely = opened.select(F.col("node").alias("u"), F.explode("w").alias("v"))
+    links = links.unionByName(verified(checkpoint(likely.distinct()), nodes, docs, words, similar))
+    components = connected_components(links)
+    # a group of one node has been tried; larger ones that are still apart are cut into the sets that agree in all min-hashes, and these are asked for by their own tokens
+    apart = checkpoint(_still_apart(opened.where("only IS NULL").select("node", "grp"), components))
+    if apart.limit(1).count():
+        wide = apart.select("grp").distinct()
+        part = nodes.select("node", F.xxhash64("minima").alias("part"))
+        inner = checkpoint(cells.join(wide, "grp", "left_semi").join(part, "node").withColumnRenamed("grp", "of").withColumn("grp", F.xxhash64("of", "part")))
+        asking = apart.withColumnRenamed("grp", "of").join(q.drop("own"), "node")
+        asked = checkpoint(_asked(asking.join(_matrix(inner, "of"), ["of", "token"]), similar))
+        pairs = asked.where("only IS NOT NULL").select(F.col("node").alias("u"), F.col("only").alias("v"))
+        pairs = pairs.unionByName(_opened(asked.where("only IS NULL").select("grp", "node"), inner.select("grp", "node").distinct(), nodes.select("node", "n", "sketch"), similar))
+        links = links.unionByName(verified(checkpoint(pairs), nodes, docs, words, similar))
+        components = connected_components(links)
 
     known = nodes.select("node", "doc_id").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    known = checkpoint(known.select("node", "doc_id", "component"))
     least = known.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = known.join(least, "component").select("node", "component_id")
-    return rows.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = spread_join(known, least, "component", "node").select("node", "component_id")
+    full = spread_join(rows.where("n > 0").select("doc_id", "n", "node"), named, "node", "doc_id").select("doc_id", "n", "component_id")
+    every = full.unionByName(rows.where("n = 0").select("doc_id", "n", F.lit(None).cast("long").alias("component_id")))
+    return every.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
