@@ -12,7 +12,13 @@ A line of n characters has n deletions of n characters, so where an edit can be
 line into blocks: if two lines differ in one block only, what stands before it and what stands behind it
 are equal. A line whose halves occur with no other line has no partner; of the rest, each is cut into
 ``BLOCKS``, and only deletions inside a block whose surroundings occur with another line are emitted.
-Both steps keep every line that has a partner, whatever its length.
+Both steps keep every line that has a partner, whatever its length. The lists that the first step makes
+(keys that lines share, lines that have one) are written and counted: short ones are broadcast to the
+scan, so that the texts of all other lines stay where they are; long ones are joined by shuffle.
+
+Rows are told apart by their id and their text's hash, so rows that repeat an id, or have none, are
+documents of their own; a line is earlier by its document's id (none before all others), then that hash,
+then its number.
 """
 
 from __future__ import annotations
@@ -21,16 +27,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import text_or_empty
+from inkwell.llm.common import checkpoint, text_or_empty, written
 
 BLOCKS = 16
+#: Numbers in a list up to which it is broadcast (some 60 MB).
+LISTED = 2_000_000
 LINE = ["h1", "h2"]
 
 
+#: A row's identity, and a line's place: its row and its number.
+ROW = ["doc_id", "row_hash"]
+PLACE = [*ROW, "line_no"]
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, row_hash and the text's parts between newlines."""
+    text = text_or_empty(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("row_hash"), F.split(text, "\n", -1).alias("parts"))
+
+
+def trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\x0b\x0c\r"))
+
+
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line_no (from 0), line, and the line's identity h1, h2: lines of every text, trimmed, that are not empty."""
-    split = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(text_or_empty(text_col), "\n", -1)).alias("line_no", "line"))
-    split = split.withColumn("line", F.btrim("line", F.lit(" \t\x0b\x0c\r"))).where("line <> ''")
+    """doc_id, row_hash, line_no (from 0), line, and the line's identity h1, h2: lines of every text, trimmed, that are not empty."""
+    split = _rows(docs, id_col, text_col).select(*ROW, F.posexplode("parts").alias("line_no", "line"))
+    split = split.withColumn("line", trimmed(F.col("line"))).where("line <> ''")
     return split.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64("line", F.lit(2))})
 
 
@@ -84,59 +107,58 @@ def variants(rows: DataFrame) -> DataFrame:
     return rows.select(*LINE, "first", F.explode(F.concat(own, deleted)).alias("v")).select(*LINE, "first", "v.v1", "v.v2", "v.place")
 
 
+def _among(df: DataFrame, listed: DataFrame, column: str) -> DataFrame:
+    """The rows whose column is in a list, which is written and counted first: a short one is broadcast, for a long one the rows are shuffled."""
+    listed = checkpoint(listed)
+    short = listed.limit(LISTED + 1).count() <= LISTED
+    return df.join(F.broadcast(listed) if short else listed, column, "left_semi")
+
+
 def earlier_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """h1, h2 of every distinct line that is within one edit of an earlier line, and that line's doc_id and line_no."""
+    """h1, h2 of every distinct line that is within one edit of an earlier line, and that line's place: earlier."""
     every = lines(docs, id_col, text_col)
-    firsts = every.groupBy(*LINE).agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    halves = half_keys(every)
-    likely = half_keys(every).join(_shared(halves), "key", "left_semi").select("h1").distinct().join(firsts, "h1")
+    likely = _among(half_keys(every), _shared(half_keys(every)), "key").select("h1").distinct()
     # one row for each distinct line that may have a partner, with its text
-    places = likely.select(F.col("h1").alias("__h1"), "h2", "first")
-    at_first = (F.col("h1") == F.col("__h1")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))
-    texts = every.select("h1", "doc_id", "line_no", "line").join(places, at_first).select(*LINE, "first", "line").dropDuplicates(LINE)
+    place = F.min(F.struct(*PLACE)).alias("first")
+    texts = written(_among(every, likely, "h1").groupBy(*LINE).agg(place, F.min("line").alias("line")))
     keys = block_keys(texts, BLOCKS, *LINE, "first", "line")
     near = keys.join(_shared(keys.select("h1", "key")), "key", "left_semi")
     v = variants(near)
-    group, place = W.partitionBy("v1", "v2"), W.partitionBy("v1", "v2", "place")
+    group, there = W.partitionBy("v1", "v2"), W.partitionBy("v1", "v2", "place")
     itself = F.min(F.when(F.col("place") == -1, F.col("first"))).over(group)
-    best = F.when(F.col("place") == -1, F.min("first").over(group)).otherwise(F.least(F.min("first").over(place), itself))
+    best = F.when(F.col("place") == -1, F.min("first").over(group)).otherwise(F.least(F.min("first").over(there), itself))
     found = v.withColumn("best", best).where("best < first").groupBy(*LINE).agg(F.min("best").alias("best"))
     one, other = texts.select(*LINE, F.col("line").alias("a")), texts.select(F.col("first").alias("best"), F.col("line").alias("b"))
-    return found.join(one, LINE).join(other, "best").where(F.levenshtein("a", "b", 1) >= 0).select(*LINE, F.col("best.doc_id").alias("earlier_doc"), F.col("best.line_no").alias("earlier_line"))
+    return found.join(one, LINE).join(other, "best").where(F.levenshtein("a", "b", 1) >= 0).select(*LINE, F.col("best").alias("earlier"))
 
 
 def _kept(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """h1, h2 and first (doc_id, line_no) of every distinct line that stays."""
-    firsts = lines(docs, id_col, text_col).groupBy(*LINE).agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    return firsts.join(earlier_neighbours(docs, id_col, text_col).select(*LINE), LINE, "left_anti")
-
+    """__id, __hash and kept: the numbers of the lines that stay, of every row that has some."""
+    firsts = lines(docs, id_col, text_col).groupBy(*LINE).agg(F.min(F.struct(*PLACE)).alias("first"))
+    staying = firsts.join(earlier_neighbours(docs, id_col, text_col).select(*LINE), LINE, "left_anti")
+    return staying.groupBy(F.col("first.doc_id").alias("__id"), F.col("first.row_hash").alias("__hash")).agg(F.collect_list("first.line_no").alias("kept"))
 
-def kept_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id and the text without the lines that ``line_dedup`` removes; empty lines stay.
 
-    A line that rows of one id have at the same number stays in each of them.
-    """
-    place = lambda k, h1: F.struct(k.cast("int").alias("line_no"), h1.alias("h1"))
-    kept = _kept(docs, id_col, text_col).groupBy(F.col("first.doc_id").alias("__id")).agg(F.collect_list(place(F.col("first.line_no"), F.col("h1"))).alias("kept"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.split(text_or_empty(text_col), "\n", -1).alias("parts"))
-    joined = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+def _with_kept(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    joined = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("row_hash") == F.col("__hash")), "left")
+    return joined.withColumn("kept", F.coalesce("kept", F.array().cast("array<int>"))).drop("__id", "__hash")
 
-    def stays(part: Column, k: Column) -> Column:
-        line = F.btrim(part, F.lit(" \t\x0b\x0c\r"))
-        return (line == "") | F.coalesce(F.array_contains("kept", place(k, F.xxhash64(line))), F.lit(False))
 
-    return joined.select("doc_id", F.array_join(F.filter("parts", stays), "\n").alias("text"))
+def kept_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id and the text without the lines that ``line_dedup`` removes; empty lines stay."""
+    rows = _with_kept(_rows(docs, id_col, text_col), _kept(docs, id_col, text_col))
+    at = F.transform(F.filter(F.transform("parts", lambda part, i: F.struct(i.alias("i"), (trimmed(part) == "").alias("blank"))), lambda x: x["blank"]), lambda x: x["i"])
+    rows = rows.withColumn("stay", F.array_sort(F.array_union("kept", at)))
+    return rows.select("doc_id", F.array_join(F.transform("stay", lambda i: F.get("parts", i)), "\n").alias("text"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_lines, n_removed, kept_lines (numbers of the lines that stay, from 0).
+    """One row per input row: doc_id, n_lines, n_removed, kept_lines (numbers of the lines that stay, from 0).
 
     Lines are what stands between newlines, trimmed; empty ones are not counted. A line stays if no line
-    that comes earlier (by doc_id, then line number) is equal to it or within one edit of it. A null text
-    has no lines; a null id sorts first; rows with the same id are counted together.
+    that comes earlier is equal to it or within one edit of it. A null text has no lines, a null id sorts
+    first; rows that repeat both id and text are one document, and have the same result.
     """
-    kept = _kept(docs, id_col, text_col).groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.sort_array(F.collect_list("first.line_no")).alias("kept_lines"))
-    counts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.size(F.filter(F.split(text_or_empty(text_col), "\n", -1), lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r")) != "")).cast("long").alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n_lines"))
-    joined = counts.join(kept.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    lines_kept = F.coalesce("kept_lines", F.array().cast("array<int>"))
-    return joined.select("doc_id", "n_lines", (F.col("n_lines") - F.size(lines_kept)).alias("n_removed"), lines_kept.alias("kept_lines"))
+    n = F.size(F.filter("parts", lambda x: trimmed(x) != "")).cast("long")
+    rows = _with_kept(_rows(docs, id_col, text_col).select(*ROW, n.alias("n_lines")), _kept(docs, id_col, text_col))
+    return rows.select("doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_removed"), F.sort_array("kept").alias("kept_lines"))
