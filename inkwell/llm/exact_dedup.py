@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import SPACE_CHARS, shuffle_partitions, text_or_empty
+from inkwell.llm.common import HEAVY, MOST_HEAVY, PARTS, SPACE_CHARS, checkpoint, shuffle_partitions, text_or_empty
 
 RUN = "digest string, second long, n_bytes long, n long, best_len long, best_id long, node int"
 KEY = ["digest", "second", "n_bytes"]
@@ -97,6 +97,11 @@ def merge_tree(digests: DataFrame, nodes: int | None = None) -> DataFrame:
     return runs
 
 
+def _large(best: DataFrame) -> DataFrame:
+    """The digests of the largest groups of copies, a bounded number."""
+    return best.where(F.col("n") > HEAVY).orderBy(F.desc("n"), *KEY).limit(MOST_HEAVY)
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nodes: int | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -105,8 +110,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     document: ``kept`` holds for each of them. Columns of other names are ignored.
     """
     digests = with_digest(docs, id_col, text_col)
-    best = merge_tree(digests, nodes).select(*KEY, F.col("best_id").alias("keep_id"), F.col("n").alias("group_size"))
-    return digests.join(best, KEY).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
+    best = checkpoint(merge_tree(digests, nodes))
+    # the rows of a large group are dealt to several tasks, to each of which the row that stays goes
+    large = F.broadcast(_large(best).select("digest", F.lit(1).alias("large")).distinct())
+    dealt = digests.join(large, "digest", "left").withColumn("part", F.when(F.col("large") == 1, F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")).otherwise(F.lit(0))).drop("large")
+    every = F.when(F.col("large") == 1, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
+    best = best.select(*KEY, F.col("best_id").alias("keep_id"), F.col("n").alias("group_size")).join(large, "digest", "left").withColumn("part", F.explode(every)).drop("large")
+    return dealt.join(best, [*KEY, "part"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,10 +125,17 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows that share an id but not a text are apart. Rows without an id stay only where ``exact_dedup``
     keeps no id for their text, one row for each text.
     """
-    best = merge_tree(with_digest(docs, id_col, text_col))
+    best = checkpoint(merge_tree(with_digest(docs, id_col, text_col)))
+    mark = "__"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark += "_"
     # plain columns for the id, so that join and dropDuplicates share one shuffle of the texts
-    names = ["__id", "__nameless", *[f"__{c}" for c in _measures(text_col)]]
-    with_keys = lambda i, measures: [F.coalesce(i, F.lit(0)).alias("__id"), i.isNull().alias("__nameless"), *[c.alias(f"__{name}") for name, c in measures.items()]]
-    kept = best.select(*with_keys(F.col("best_id"), {"length": F.col("best_len"), **{k: F.col(k) for k in KEY}}))
-    rows = docs.select("*", *with_keys(F.col(id_col).cast("long"), _measures(text_col)))
+    names = [f"{mark}{c}" for c in ("id", "nameless", *_measures(text_col))]
+    with_keys = lambda i, measures: [x.alias(name) for name, x in zip(names, (F.coalesce(i, F.lit(0)), i.isNull(), *measures), strict=True)]
+    own = {"length": "best_len"}
+    kept = best.select(*with_keys(F.col("best_id"), [F.col(own.get(c, c)) for c in _measures(text_col)]))
+    rows = docs.select("*", *with_keys(F.col(id_col).cast("long"), _measures(text_col).values()))
+    # of a large group only rows that may stay are shuffled
+    large = F.broadcast(_large(best).groupBy(F.col("digest").alias(f"{mark}large")).agg(F.collect_set(F.coalesce("best_id", F.lit(0))).alias(f"{mark}ids")))
+    rows = rows.join(large, F.col(f"{mark}digest") == F.col(f"{mark}large"), "left").where(F.col(f"{mark}ids").isNull() | F.array_contains(f"{mark}ids", F.col(f"{mark}id")))
     return rows.join(kept, names, "left_semi").dropDuplicates(names).select(*docs.columns)
