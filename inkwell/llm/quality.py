@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import checkpoint, slices, text_or_empty
+from inkwell.llm.common import checkpoint, least_hashed, slices, text_or_empty
 
 #: Labelled rows that a fit uses at most, those with the least hash of their id.
 SAMPLE = 30_000
@@ -142,7 +142,7 @@ def held_out(modulus: int, remainder: int, id_col: str = "doc_id") -> Column:
 def labelled_sample(labels: DataFrame, label: str, modulus: int, remainder: int, sample: int) -> DataFrame:
     """At most ``sample`` labelled rows that are not held out: those with the least hash of their id."""
     rows = labels.where(~held_out(modulus, remainder) & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-    return rows.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("label")).orderBy(F.xxhash64("__id"), "__id").limit(sample)
+    return least_hashed(rows.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("label")), "__id", sample)
 
 
 def _stats_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-The learner sees confirmed toxic documents and unlabelled text, never a clean label. Words, and
+The learner sees confirmed toxic documents and unlabelled text. Of clean labels it uses their number alone, for the
+class prior, which can be given instead. Words, and
 beginnings of words, that are more frequent among the toxic documents than in unlabelled text (by the
 G statistic) become features; a linear model on them, in numpy, minimises the risk that is corrected by
 the class prior p:  p R+(toxic) + max(0, R-(unlabelled) - p R-(toxic)).  Where the second term would
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import checkpoint, slices, text_or_empty
+from inkwell.llm.common import checkpoint, least_hashed, slices, text_or_empty
 from inkwell.llm.quality import SCORED, held_out
 
 #: Confirmed toxic and unlabelled documents that a fit uses at most: those with the least hash of their id.
@@ -92,18 +93,14 @@ def fit_nnpu(positive: Sparse, unlabelled: Sparse, width: int, prior: float, ste
     return w, float(b)
 
 
-def _least(rows: DataFrame, n: int) -> DataFrame:
-    return rows.orderBy(F.xxhash64("__id"), "__id").limit(n)
-
-
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 4, remainder: int = 2, positive: int = POSITIVE, unlabelled: int = UNLABELLED) -> Model:
-    """Fit on bounded samples: ``positive`` confirmed toxic documents and ``unlabelled`` documents of any kind, none held out."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 4, remainder: int = 2, positive: int = POSITIVE, unlabelled: int = UNLABELLED, prior: float | None = None) -> Model:
+    """Fit on bounded samples: ``positive`` confirmed toxic documents and ``unlabelled`` documents of any kind, none held out. ``prior`` is the share of toxic text, by default that among the labelled rows."""
     free = ~held_out(modulus, remainder)
     known = labels.where(free & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-    counts = known.select(F.avg(F.col(label).cast("double")).alias("prior")).first()
-    prior = min(0.9, max(0.005, counts["prior"] or 0.0))
-    toxic = _least(known.where(F.col(label) == 1).select(F.col("doc_id").alias("__id")), positive).withColumn("p", F.lit(1))
-    other = _least(docs.where(free & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("__id")), unlabelled).withColumn("u", F.lit(1))
+    if prior is None:
+        prior = min(0.9, max(0.005, known.select(F.avg(F.col(label).cast("double")).alias("prior")).first()["prior"] or 0.0))
+    toxic = least_hashed(known.where(F.col(label) == 1).select(F.col("doc_id").alias("__id")), "__id", positive).withColumn("p", F.lit(1))
+    other = least_hashed(docs.where(free & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("__id")), "__id", unlabelled).withColumn("u", F.lit(1))
     chosen = F.broadcast(toxic.join(other, "__id", "full"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     # a text that was copied counts once; what is kept is a bounded list of ids, and the texts are read again where they are needed
