@@ -3,7 +3,7 @@
 Only token counts matter to the packing, so each document is tokenised once, longer ones are cut into
 pieces of the sequence length, and the small table of pieces is checkpointed. All pieces are packed at
 once over their histogram of lengths: its answer, sets of lengths with multiplicities, grows with the
-sequence length and not with the input. Pieces are then dealt by a hash of their document into shards of
+sequence length and not with the input. Pieces are then dealt by a hash of their place into shards of
 about ``SHARD`` documents, which grow in number, not in size, and each piece takes the place that its
 rank among all pieces of its length has in the answer.
 
@@ -287,7 +287,8 @@ def best_fit_packing(docs: DataFrame, tokenizer: str | None = None, capacity: in
     cut = pieces(docs, path, capacity, end_id, with_ids)
     cut = written(cut) if with_ids else checkpoint(cut)
     shards = max(1, -(-docs.count() // shard))
-    cut = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
+    # by the piece's place in the written table, so that rows that repeat an id, or have none, are dealt evenly as well
+    cut = cut.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for row in cut.groupBy("length").count().collect():
         counts[row["length"]] = row["count"]
