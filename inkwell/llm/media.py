@@ -33,6 +33,8 @@ STREAM_ID = 0xBD
 TICKS, ACCESS = 2160, 16
 MEDIA = "doc_id long, n_bytes long, media binary"
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+#: Further columns of what is read back: the time of every unit, and the numbers of the units where reading can begin.
+PLACES = ", pts array<long>, access_points array<long>"
 
 
 def _crc_table() -> np.ndarray:
@@ -231,7 +233,7 @@ def feature(s: Stream) -> str:
 
 
 def read_back(media: DataFrame) -> DataFrame:
-    """The stored streams parsed again: digests of the payload and of the stream, and the features."""
+    """The stored streams parsed again: digests of the payload and of the stream, the features, the times of the units and the random-access points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -240,10 +242,12 @@ def read_back(media: DataFrame) -> DataFrame:
                 for i, n, data in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media")), strict=True):
                     s = read_stream(data)
                     x = s.payload
-                    rows.append({"doc_id": i, "n_bytes": n, "payload_bytes": len(x), "payload_sha256": hashlib.sha256(x).hexdigest(), "tail_crc32": zlib.crc32(x[-32:]), "media_bytes": len(data or b""), "media_sha256": hashlib.sha256(data or b"").hexdigest(), "feature": feature(s)})
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(k, pa.int64() if t == "long" else pa.string()) for k, t in (x.split() for x in FEATURES.split(", "))]))
+                    rows.append({"doc_id": i, "n_bytes": n, "payload_bytes": len(x), "payload_sha256": hashlib.sha256(x).hexdigest(), "tail_crc32": zlib.crc32(x[-32:]), "media_bytes": len(data or b""), "media_sha256": hashlib.sha256(data or b"").hexdigest(), "feature": feature(s), "pts": s.pts, "access_points": s.access_points})
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return media.mapInArrow(run, FEATURES)
+    kinds = {"long": pa.int64(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
+    schema = pa.schema([(k, kinds[t]) for k, t in (x.split() for x in (FEATURES + PLACES).split(", "))])
+    return media.mapInArrow(run, FEATURES + PLACES)
 
 
 def timeline(media: DataFrame) -> DataFrame:
