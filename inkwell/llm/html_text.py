@@ -12,6 +12,7 @@ every input; the model is a table of a few hundred weights.
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import re
 from collections.abc import Iterator
@@ -392,6 +393,12 @@ def trained_model(pages: list[tuple[str, list[str]]] | None = None) -> Model:
     return train(data)
 
 
+@functools.lru_cache(maxsize=1)
+def default_model() -> Model:
+    """The model from the made pages, trained once in a session."""
+    return trained_model()
+
+
 def main_text(page: str | None, model: Model) -> str:
     blocks = leaf_blocks(page)
     return "\n".join(b.text for b, y in zip(blocks, model.decode(blocks), strict=True) if y)
@@ -399,7 +406,7 @@ def main_text(page: str | None, model: Model) -> str:
 
 def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """page_id, url, text, n_chars for every row. A null or empty page has an empty text; repeated rows each have theirs."""
-    model = model or trained_model()
+    model = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
