@@ -11,7 +11,7 @@ one text only are dropped. The windows around an anchor that select it make one
 words. Passages with the same anchor go to the same shard, which builds an automaton of the distinct
 ones and streams each through it; shards are worked through in chunks of a bounded number of words.
 
-Anchors in more than ``HOT`` texts go by single windows, dealt by the window's hash. Of equal passages or
+Anchors at more than ``HOT`` places go by single windows, dealt by the window's hash. Of equal passages or
 windows in a slice of texts only those in the least document go to a shard, the others are known to go;
 so a passage in a third of all documents is a row for each slice. Anchors that texts of one slice share
 are known to be shared at once: their rows are dealt at random, and one witness of them by the anchor.
@@ -36,7 +36,7 @@ from inkwell.llm.common import HEAVY, MOST_HEAVY, PARTS, checkpoint, give_back,
 from inkwell.llm.words import mix, shingle_hashes, word_hashes
 
 WINDOW, GRAM = 13, 5
-#: Texts with an anchor from which it goes by single windows, and words a chunk of a shard holds before it is matched.
+#: Places of an anchor from which it goes by single windows, and words a chunk of a shard holds before it is matched.
 HOT, CHUNK = 4_000, 30_000
 #: Such anchors up to which their list is broadcast (some 20 MB); more are joined by shuffle, each in several parts.
 MOST_HOT = 1_000_000
@@ -165,7 +165,7 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
 
     The key is the anchor and the anchor null, but for anchors that texts of a slice share: these rows
     have a random key, and one witness of them has the anchor as its key, and as its place the number of
-    those texts, below zero.
+    its places in the slice, below zero.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +191,8 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
                 key = np.where(shared, mix(anchor.view(np.uint64) ^ mix(text.view(np.uint64))).view(np.int64), anchor)
                 w = np.unique(np.where(shared, back, -1), return_index=True)[1]
                 w = w[shared[w]]
-                columns = [np.concatenate(x) for x in ((key, anchor[w]), (anchor, anchor[w]), (text, text[w]), (place, -times[back[w]]))]
+                places = np.bincount(back)
+                columns = [np.concatenate(x) for x in ((key, anchor[w]), (anchor, anchor[w]), (text, text[w]), (place, -places[back[w]]))]
                 given = np.concatenate([~shared, np.ones(len(w), dtype=bool)])
                 yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32) if k == 3 else x, mask=given if k == 1 else None) for k, x in enumerate(columns)], ["key", "anchor", "t1", "place"])
 
@@ -201,12 +202,12 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
 def _at_places(texts: DataFrame, window: int) -> DataFrame:
     """The passages around the anchors at the places in ``cold``, and the single windows of those in ``hot``.
 
-    Of equal ones in a slice only the places in the least document are worth a row: route (the anchor, or half the
-    window's hash), id1, id2 (the words' hash), t1, doc_id, start, and for the first the words. In the slice's other
-    documents all their windows go; these come as one row a document, in ``gone``.
+    Of equal ones in a slice only the least document is worth a row: route (the anchor, or half the window's hash),
+    id1, id2 (the words' hash), t1, doc_id, the places there, and the words. In the slice's other documents all their
+    windows go; these come as one row a document, without a passage.
     """
-    names = ["route", "id1", "id2", "t1", "doc_id", "start", "passage", "gone"]
-    types = [*[pa.int64()] * 5, pa.int32(), pa.binary(), pa.list_(pa.int32())]
+    names = ["route", "id1", "id2", "t1", "doc_id", "starts", "passage"]
+    types = [*[pa.int64()] * 5, pa.list_(pa.int32()), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
@@ -240,31 +241,32 @@ def _at_places(texts: DataFrame, window: int) -> DataFrame:
                 gone: dict[int, list[int]] = {}
                 for data, places in found.items():
                     d = least[data]
-                    known = None
+                    id1, id2 = _hash(data)
+                    first: dict[int, list[int]] = {}
                     for n, s in places:
                         if doc[n] > d:
                             gone.setdefault(n, []).extend(range(s, s + data.count(b" ") + 2 - window))
                         else:
-                            id1, id2 = known or _hash(data)
-                            for column, x in zip(out, (routes.get(data, id1), id1, id2, t1[n], d, s, None if known else data, None), strict=True):
-                                column.append(x)
-                            known = id1, id2
+                            first.setdefault(n, []).append(s)
+                    for n, starts in first.items():
+                        for column, x in zip(out, (routes.get(data, id1), id1, id2, t1[n], d, starts, data), strict=True):
+                            column.append(x)
                 for n, starts in gone.items():
-                    for column, x in zip(out, (t1[n], None, None, t1[n], doc[n], None, None, starts), strict=True):
+                    for column, x in zip(out, (t1[n], None, None, t1[n], doc[n], starts, None), strict=True):
                         column.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names)
 
     # with the same columns as the result has, so that one shuffle of the texts serves both
-    return texts.select("packed", "t1", "doc_id", "cold", "hot", "extra").mapInArrow(run, "route long, id1 long, id2 long, t1 long, doc_id long, start int, passage binary, gone array<int>")
+    return texts.select("packed", "t1", "doc_id", "cold", "hot", "extra").mapInArrow(run, "route long, id1 long, id2 long, t1 long, doc_id long, starts array<int>, passage binary")
 
 
 def _shards(passages: DataFrame, window: int) -> DataFrame:
     """t1, doc_id, s: the windows (by their place) that go, by automata over each shard's chunks."""
-    dealt = passages.repartition(F.col("route")).sortWithinPartitions("route", "id1", "id2", F.col("passage").isNull())
+    dealt = passages.repartition(F.col("route")).sortWithinPartitions("route", "id1", "id2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # of each passage of a chunk its words, and the places it stands at: t1, doc_id and start
-        held: list[tuple[list[bytes], list[tuple[int, int, int]]]] = []
+        # of each passage of a chunk its words, and where it stands: t1, doc_id and places
+        held: list[tuple[list[bytes], list[tuple[int, int, list[int]]]]] = []
         known: list[tuple[int, int, list[int]]] = []
         size, route, passage = 0, None, None
 
@@ -277,15 +279,16 @@ def _shards(passages: DataFrame, window: int) -> DataFrame:
             for words, places in held:
                 least = automaton.match(words, window)
                 low = min(least)
-                for t1, d, start in places:
+                for t1, d, starts in places:
                     if low < d:
-                        gone.append((t1, d, [start + i for i, x in enumerate(least) if x < d]))
+                        late = [i for i, x in enumerate(least) if x < d]
+                        gone.append((t1, d, [s + i for s in starts for i in late]))
             return pa.RecordBatch.from_arrays([pa.array([g[i] for g in gone], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int32())))], ["t1", "doc_id", "s"])
 
         for batch in batches:
-            for r, id1, id2, t1, d, start, data, gone in zip(*(batch.column(c).to_pylist() for c in ("route", "id1", "id2", "t1", "doc_id", "start", "passage", "gone")), strict=True):
-                if gone is not None:
-                    known.append((t1, d, gone))
+            for r, id1, id2, t1, d, starts, data in zip(*(batch.column(c).to_pylist() for c in ("route", "id1", "id2", "t1", "doc_id", "starts", "passage")), strict=True):
+                if data is None:
+                    known.append((t1, d, starts))
                     continue
                 if r != route and size > CHUNK:
                     yield out()
@@ -295,7 +298,7 @@ def _shards(passages: DataFrame, window: int) -> DataFrame:
                     held.append((words, []))
                     size += len(words)
                     route, passage = r, (id1, id2)
-                held[-1][1].append((t1, d, start))
+                held[-1][1].append((t1, d, starts))
         yield out()
         give_back()
 
@@ -315,8 +318,8 @@ def removed_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, D
     rows = rows.join(firsts, ["t1", "part"]).where(F.col("t2").bitwiseXOR(F.col("c2")) == 0)
     rows = rows.withColumn("is_first", F.coalesce(F.col("doc_id") <= F.col("first"), F.lit(False))).drop("c2", "first", "known", "t2")
     key = W.partitionBy("key")
-    dealt = _anchors(docs, window).withColumns({"lo": F.min("t1").over(key), "hi": F.max("t1").over(key), "texts": F.sum(F.greatest(F.lit(1), -F.col("place"))).over(key)})
-    shared = written(dealt.where("place < 0 OR anchor IS NOT NULL OR lo < hi").select(F.coalesce("anchor", "key").alias("anchor"), "t1", "place", (F.col("anchor").isNull() & (F.col("texts") > HOT)).alias("many")))
+    dealt = _anchors(docs, window).withColumns({"lo": F.min("t1").over(key), "hi": F.max("t1").over(key), "places": F.sum(F.greatest(F.lit(1), -F.col("place"))).over(key)})
+    shared = written(dealt.where("place < 0 OR anchor IS NOT NULL OR lo < hi").select(F.coalesce("anchor", "key").alias("anchor"), "t1", "place", (F.col("anchor").isNull() & (F.col("places") > HOT)).alias("many")))
     hot = shared.where("many").select("anchor").distinct()
     found = shared.where("place >= 0").select("anchor", "t1", "place")
     if hot.limit(MOST_HOT + 1).count() <= MOST_HOT:
