@@ -1,11 +1,14 @@
 """The stages, each on its own input, and the whole against the operators."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
+from test_llm_operators import components_brute, windows_brute
 
 import __spark_entry__ as entry
 import corpus_pipeline as cp
-from inkwell.llm import exact_dedup, jaccard_join, packing, substring_dedup
+from inkwell.llm import packing
 from inkwell.llm.common import written
 
 SF = "/root/testdata/sf0.01"
@@ -34,27 +37,47 @@ def test_toxicity_keeps_rows_as_they_are(outputs):
     assert 0 < outputs[1].count() < outputs[0].count()
 
 
+def rows_of(df):
+    return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+
+
 def test_exact_stage(outputs):
-    assert ids(outputs[2]) == ids(exact_dedup.exact_dedup(outputs[1]).where("kept"))
-    assert exact_dedup.exact_dedup(outputs[2]).where("group_size > 1").count() == 0
+    """Against a dictionary of all texts without white space."""
+    best = {}
+    for i, t in rows_of(outputs[1]):
+        best.setdefault("".join(c for c in t or "" if c not in " \t\n\x0b\x0c\r"), []).append((-len(t or ""), i))
+    assert ids(outputs[2]) == {min(g)[1] for g in best.values()}
+    assert outputs[2].exceptAll(outputs[1]).count() == 0
 
 
 def test_near_stage(outputs):
-    assert ids(outputs[3]) == ids(jaccard_join.near_duplicates(outputs[2]).where("doc_id = component_id"))
+    """Against the similarity of all pairs."""
+    component = components_brute(rows_of(outputs[2]))
+    assert ids(outputs[3]) == {i for i, (_, c) in component.items() if c == i}
+    assert outputs[3].exceptAll(outputs[2]).count() == 0
 
 
 def test_substring_stage(outputs):
-    kept = substring_dedup.substring_dedup(outputs[3]).select("doc_id", "kept_sha256")
-    assert kept.join(outputs[4].select("doc_id", F.sha2("text", 256).alias("h")), "doc_id").where("h <> kept_sha256").count() == 0
-    assert outputs[4].count() == outputs[3].count()
+    """Against a dictionary of all windows."""
+    expected = windows_brute(rows_of(outputs[3]))
+    got = {i: hashlib.sha256(t.encode()).hexdigest() for i, t in rows_of(outputs[4])}
+    assert got == {i: h for i, (_, _, h) in expected.items()}
     assert outputs[4].where("n_chars <> length(text)").count() == 0
     assert outputs[4].join(outputs[3].select("doc_id", "lang", "source"), ["doc_id", "lang", "source"]).count() == outputs[3].count()
 
 
 def test_packing_stage(outputs):
-    again = packing.best_fit_packing(outputs[4])
-    assert outputs[5].select("doc_id", "piece", "ids_crc32").exceptAll(again.select("doc_id", "piece", "ids_crc32")).count() == 0
-    assert ids(outputs[5]) == ids(outputs[4])
+    """Against the tokenizer library, and the bound that the number of ids gives."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.tokenizer_path("word_bpe_49k.json"))
+    got = outputs[5].toPandas()
+    lengths = got.groupby("doc_id").length.sum().to_dict()
+    assert lengths == {i: len(tok.encode(t, add_special_tokens=False).ids) + 1 for i, t in rows_of(outputs[4])}
+    for _, s in got.sort_values("offset").groupby("sequence_id"):
+        assert s.offset.tolist() == [0, *s.length.cumsum().tolist()[:-1]]
+        assert s.length.sum() <= 2048
+    assert got.sequence_id.nunique() <= -(-got.length.sum() // 2048) + 2
 
 
 def test_run_is_the_stages(spark, outputs):
