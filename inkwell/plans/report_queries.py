@@ -524,16 +524,35 @@ def ppmi_candidates(spark, sf_dir):
     return expand.candidates(ppmi(spark, sf_dir), SEEDS, KNOWN)
 
 
-@query(f"""
-WITH p AS (SELECT doc_id, {sql.TEXT} AS t, regexp_extract_all({MASKED}, '[^\\p{{L}}]*\\p{{L}}+') AS x FROM documents),
+def _evidence_sql(source: str, p) -> str:
+    return f"""
+WITH p AS (SELECT doc_id, {sql.TEXT} AS t, regexp_extract_all({sql.mask(sql.TEXT, p)}, {sql.lit(rf"[^\p{{L}}]*(?:{p.token})")}) AS x FROM {source}),
   k AS (SELECT doc_id, t, unnest(range(len(x))) AS k, unnest(x) AS part FROM p),
-  e AS (SELECT *, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY k) AS "end", regexp_extract(lower(part), '(\\p{{L}}+)$', 1) AS word FROM k)
+  e AS (SELECT *, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY k) AS "end", regexp_extract(lower(part), {sql.lit(f"({p.token})$")}, 1) AS word FROM k)
 SELECT doc_id AS row_no, e.word, dim, ("end" - length(e.word))::BIGINT AS start, "end"::BIGINT AS "end", substring(t, greatest("end" - length(e.word) - 9, 1)::BIGINT, length(e.word) + 20) AS snippet
-FROM e JOIN {sql.values(tone_words(P), 'word, dim')} ON v.word = e.word""")
+FROM e JOIN {sql.values(tone_words(p), 'word, dim')} ON v.word = e.word"""
+
+
+@query(_evidence_sql("documents", P))
 def tone_evidence(spark, sf_dir):
     return tone.hit_places(docs(spark, sf_dir), P)
 
 
+@query(_evidence_sql(CASES_SQL, ZH))
+def tone_evidence_zh(spark, sf_dir):
+    return tone.hit_places(cases(spark), ZH)
+
+
+def _sample_sql(source: str, stratum: str) -> str:
+    return f"SELECT row_no, {stratum}, place FROM (SELECT doc_id AS row_no, {stratum}, row_number() OVER (PARTITION BY {stratum} ORDER BY md5(concat_ws('-', '1', doc_id::VARCHAR)), doc_id) AS place FROM {source}) WHERE place <= 5"
+
+
+@query(_sample_sql(f"(SELECT row_no AS doc_id, polarity_negated FROM ({_wide_sentiment_sql(HITS_ZH)}))", "polarity_negated"))
+def stratified_sample_zh(spark, sf_dir):
+    """Written Chinese cases to read, by polarity."""
+    return audit.stratified_sample(sentiment_zh(spark, sf_dir), "polarity_negated", "row_no", 5).select("row_no", "polarity_negated", "place")
+
+
 @query("SELECT row_no, source, place FROM (SELECT doc_id AS row_no, source, row_number() OVER (PARTITION BY source ORDER BY md5(concat_ws('-', '1', doc_id::VARCHAR)), doc_id) AS place FROM documents) WHERE place <= 5")
 def stratified_sample(spark, sf_dir):
     return audit.stratified_sample(docs(spark, sf_dir), "source", "doc_id", 5).select(F.col("doc_id").alias("row_no"), "source", "place")
