@@ -21,21 +21,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _unfinished(edges: DataFrame) -> bool:
+    """Whether a node has several edges down, or is itself pointed at: else the edges are stars."""
+    several = edges.groupBy("u").count().where("count > 1").select("u")
+    between = edges.select("u").join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
+    return bool(several.unionByName(between).limit(1).count())
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (the least node reachable) for every node of ``edges`` (u, v); nodes without edges are not listed.
 
     Every round is a few joins and aggregations of the edge list, checkpointed; rounds grow with the logarithm of the longest path.
     """
     edges = checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    sign = lambda df: df.select(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-    last = sign(edges)
-    while last["n"]:
+    while _unfinished(edges):
         # the centre of a star has many rows, so joins by node spread them
         edges = checkpoint(_small_star(checkpoint(_large_star(edges))))
-        now = sign(edges)
-        if now == last:
-            break
-        last = now
     # every node but the centres of the stars is on the left once
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

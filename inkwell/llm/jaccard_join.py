@@ -359,6 +359,14 @@ def _still_apart(opened: DataFrame, components: DataFrame) -> DataFrame:
     return named.where(F.coalesce("one", "node") != F.coalesce("other", "grp")).drop("one", "other")
 
 
+def _joined(components: DataFrame, links: DataFrame) -> DataFrame:
+    """The components when links are added: they start from the stars that are known."""
+    links = checkpoint(links)
+    if not links.limit(1).count():
+        return components
+    return connected_components(links.unionByName(components.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the least doc_id reachable by links).
 
@@ -381,14 +389,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     led = spread_join(by_hash.select("bucket", "node", "n"), leaders, "bucket", "node").select("node", "n", F.explode("leaders").alias("leader"))
     led = led.where(F.col("node") > F.col("leader.node")).where(fits(F.col("n"), F.col("leader.n")))
     links = checkpoint(verified(checkpoint(led.select(F.col("node").alias("u"), F.col("leader.node").alias("v")).distinct()), nodes, docs, words, similar))
-    groups = connected_components(links).withColumnRenamed("component", "grp")
+    groups = connected_components(links)
 
     # the matrix: prefix tokens of more than one node, then of more than one group
     key, in_order = W.partitionBy("key"), W.partitionBy("key").orderBy("node")
     prefixes = _prefixes(docs, frequent, renamed, words, similar).withColumns({"before": F.lag("node").over(in_order), "lo": F.min("node").over(key), "hi": F.max("node").over(key)})
     shared = prefixes.where("at >= 0 AND (token IS NOT NULL OR lo < hi) AND NOT node <=> before")
     shared = shared.select(F.coalesce("token", "key").alias("token"), "node", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("place"))
-    grouped = written(shared.join(groups, "node", "left").withColumn("grp", F.coalesce("grp", "node")))
+    grouped = written(shared.join(groups, "node", "left").withColumn("grp", F.coalesce("component", "node")).drop("component"))
     several = grouped.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
     cells = written(grouped.join(several, "token", "left_semi"))
     q = cells.select("token", "node", "n", "place", F.col("grp").alias("own"))
@@ -396,8 +404,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # one link joins two groups, so the members that are likeliest are tried first, a bounded number for each node and group
     likely = opened.select(F.col("node").alias("u"), F.explode("w").alias("v"))
-    links = links.unionByName(verified(checkpoint(likely.distinct()), nodes, docs, words, similar))
-    components = connected_components(links)
+    components = _joined(groups, verified(checkpoint(likely.distinct()), nodes, docs, words, similar))
     # a group of one node has been tried; larger ones that are still apart are cut into the sets that agree in all min-hashes, and these are asked for by their own tokens
     apart = checkpoint(_still_apart(opened.where("only IS NULL").select("node", "grp"), components))
     if apart.limit(1).count():
@@ -408,8 +415,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         asked = checkpoint(_asked(asking.join(_matrix(inner, "of"), ["of", "token"]), similar))
         pairs = asked.where("only IS NOT NULL").select(F.col("node").alias("u"), F.col("only").alias("v"))
         pairs = pairs.unionByName(_opened(asked.where("only IS NULL").select("grp", "node"), inner.select("grp", "node").distinct(), nodes.select("node", "n", "sketch"), similar))
-        links = links.unionByName(verified(checkpoint(pairs), nodes, docs, words, similar))
-        components = connected_components(links)
+        components = _joined(components, verified(checkpoint(pairs), nodes, docs, words, similar))
 
     known = nodes.select("node", "doc_id").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     known = checkpoint(known.select("node", "doc_id", "component"))
