@@ -22,11 +22,12 @@ first i are in the group, the two have no more in common than c and what the sho
 Groups whose greatest bound over the matches falls short are not opened.
 
 One link joins two groups, so a node that asks for a group is first held against a few members that
-share its rarest and its last matching token; pairs whose groups a link has joined by then are done. What
-is still apart asks again, for the parts of the group: sets that agree in all min-hashes, with tokens
-and bounds of their own. Only in the parts that these bounds open is the node held against each member,
-by sketches (the parity of the number of tokens in each of some classes), which bound the symmetric
-difference from below; what remains is verified on the texts.
+share its rarest and its last matching token; pairs whose groups a link has joined by then are done. For
+what is still apart the whole token unions are made, of these groups alone: what a node does not have in
+common with any member it has in common with none, so copies of one text with edits of their own bound
+each other tightly. Only where the union holds enough is the node held against each member, by sketches
+(the parity of the number of tokens in each of some classes), which bound the symmetric difference from
+below; what remains is verified on the texts.
 
 Links between groups and within them give the components, by large and small stars. Joins by a node, a
 text, a min-hash or a component that many rows have deal these to several tasks. Sets and texts whose
@@ -344,10 +345,10 @@ def _asked(met: DataFrame, similar: int) -> DataFrame:
     return opened.select("node", "grp", "only", F.array_distinct(F.array("rarest.low", "rarest.high", "last.low", "last.high")).alias("w"))
 
 
-def _matrix(cells: DataFrame, *keys: str) -> DataFrame:
+def _matrix(cells: DataFrame) -> DataFrame:
     """token and grp: sizes, the most that a member has behind the token, and two of the members that have it; ``only`` if the group has one member at all."""
     alone = cells.groupBy("grp").agg(F.min("node").alias("member"), F.max("node").alias("other")).select("grp", F.when(F.col("member") == F.col("other"), F.col("member")).alias("only"))
-    matrix = cells.groupBy("token", "grp", *keys).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("place")).alias("room"), F.min("node").alias("low"), F.max("node").alias("high"))
+    matrix = cells.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("place")).alias("room"), F.min("node").alias("low"), F.max("node").alias("high"))
     return matrix.join(alone, "grp")
 
 
@@ -359,6 +360,35 @@ def _still_apart(opened: DataFrame, components: DataFrame) -> DataFrame:
     return named.where(F.coalesce("one", "node") != F.coalesce("other", "grp")).drop("one", "other")
 
 
+def _tokens_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """node, token: all tokens of the nodes in a list."""
+    named = checkpoint(wanted.join(nodes.select("node", "text"), "node"))
+    texts = _packed(docs, _filter(named.select(F.col("text.h").alias("text_hash")))).dropDuplicates(["text_hash", "text_check"])
+    found = named.join(texts.select(F.struct(F.col("text_hash").alias("h"), F.col("text_check").alias("c")).alias("text"), "packed"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unzip = zstandard.ZstdDecompressor()
+        for whole in batches:
+            for batch in slices(whole, "packed", 1 << 20):
+                sets = shingle_sets([unzip.decompress(x) for x in batch.column("packed").to_pylist()], words)
+                node = np.repeat(batch.column("node").to_numpy(), [len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(np.concatenate(sets), pa.int64())], ["node", "token"])
+
+    return found.select("node", "packed").mapInArrow(run, "node long, token long")
+
+
+def _by_union(asking: DataFrame, members: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similar: int) -> DataFrame:
+    """grp, node: the askers that have enough tokens in the union of all tokens of a group's members, for the least size of a member that is similar."""
+    tokens = written(_tokens_of(asking.select("node").union(members.select("node")).distinct(), nodes, docs, words))
+    union = members.join(tokens, "node").select("grp", "token").distinct()
+    common = asking.join(tokens, "node").join(union, ["grp", "token"]).groupBy("grp", "node").agg(F.count("*").alias("common"))
+    sizes = members.join(nodes.select("node", "n"), "node").groupBy("grp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    known = common.join(nodes.select("node", "n"), "node").join(sizes, "grp")
+    size = F.greatest(F.col("least"), F.ceil(F.col("n") * similar / 100))
+    enough = F.lit(100 + similar) * F.col("common") >= F.lit(similar) * (F.col("n") + size)
+    return checkpoint(known.where(enough & (F.lit(100) * F.col("most") >= F.lit(similar) * F.col("n"))).select("grp", "node"))
+
+
 def _joined(components: DataFrame, links: DataFrame) -> DataFrame:
     """The components when links are added: they start from the stars that are known."""
     links = checkpoint(links)
@@ -405,17 +435,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # one link joins two groups, so the members that are likeliest are tried first, a bounded number for each node and group
     likely = opened.select(F.col("node").alias("u"), F.explode("w").alias("v"))
     components = _joined(groups, verified(checkpoint(likely.distinct()), nodes, docs, words, similar))
-    # a group of one node has been tried; larger ones that are still apart are cut into the sets that agree in all min-hashes, and these are asked for by their own tokens
+    # a group of one node has been tried; larger ones that are still apart are asked for by all tokens of node and group
     apart = checkpoint(_still_apart(opened.where("only IS NULL").select("node", "grp"), components))
     if apart.limit(1).count():
-        wide = apart.select("grp").distinct()
-        part = nodes.select("node", F.xxhash64("minima").alias("part"))
-        inner = checkpoint(cells.join(wide, "grp", "left_semi").join(part, "node").withColumnRenamed("grp", "of").withColumn("grp", F.xxhash64("of", "part")))
-        asking = apart.withColumnRenamed("grp", "of").join(q.drop("own"), "node")
-        asked = checkpoint(_asked(asking.join(_matrix(inner, "of"), ["of", "token"]), similar))
-        pairs = asked.where("only IS NOT NULL").select(F.col("node").alias("u"), F.col("only").alias("v"))
-        pairs = pairs.unionByName(_opened(asked.where("only IS NULL").select("grp", "node"), inner.select("grp", "node").distinct(), nodes.select("node", "n", "sketch"), similar))
-        components = _joined(components, verified(checkpoint(pairs), nodes, docs, words, similar))
+        members = checkpoint(cells.select("grp", "node").join(apart.select("grp").distinct(), "grp", "left_semi").distinct())
+        asking = _by_union(apart, members, nodes, docs, words, similar)
+        pairs = checkpoint(_opened(asking, members, nodes.select("node", "n", "sketch"), similar))
+        components = _joined(components, verified(pairs, nodes, docs, words, similar))
 
     known = nodes.select("node", "doc_id").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     known = checkpoint(known.select("node", "doc_id", "component"))
