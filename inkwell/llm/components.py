@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm.common import checkpoint, spread_join
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: Edges from which the joins of a round look for hot nodes first; fewer make no task long, whatever their nodes.
+MANY = 1_000_000
+
+
+def _large_star(edges: DataFrame, join: Callable) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return spread_join(both.where("v > u"), least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return join(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, join: Callable) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = spread_join(down, least, "u", "v").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = join(down, least).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -34,9 +40,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Every round is a few joins and aggregations of the edge list, checkpointed; rounds grow with the logarithm of the longest path.
     """
     edges = checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    many = edges.count() > MANY
     while _unfinished(edges):
-        # the centre of a star has many rows, so joins by node spread them
-        edges = checkpoint(_small_star(checkpoint(_large_star(edges))))
+        if many:
+            # the centre of a star has many rows, so joins by node spread them
+            spread = lambda left, least: spread_join(left, least, "u", "v")
+            edges = checkpoint(_small_star(checkpoint(_large_star(edges, spread)), spread))
+        else:
+            plain = lambda left, least: left.join(least, "u")
+            edges = checkpoint(_small_star(_large_star(edges, plain), plain))
     # every node but the centres of the stars is on the left once
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -355,8 +355,7 @@ def _matrix(cells: DataFrame) -> DataFrame:
 def _still_apart(opened: DataFrame, components: DataFrame) -> DataFrame:
     """The node and group pairs that no link has joined yet."""
     name = lambda end, out: components.select(F.col("node").alias(end), F.col("component").alias(out))
-    named = spread_join(opened, name("node", "one"), "node", "grp", "left")
-    named = spread_join(checkpoint(named), name("grp", "other"), "grp", "node", "left")
+    named = spread_join(opened, name("grp", "other"), "grp", "node", "left").join(name("node", "one"), "node", "left")
     return named.where(F.coalesce("one", "node") != F.coalesce("other", "grp")).drop("one", "other")
 
 

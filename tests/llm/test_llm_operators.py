@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkwell.llm import bpe, common, exact_dedup, html_text, jaccard_join, line_dedup, media, packing, quality, queries, substring_dedup, toxicity
+from inkwell.llm import bpe, common, components, exact_dedup, html_text, jaccard_join, line_dedup, media, packing, quality, queries, substring_dedup, toxicity
 from inkwell.llm import words as w
 from inkwell.llm.components import connected_components
 
@@ -444,7 +444,9 @@ def test_least_hashed_is_the_whole_order(spark):
     assert common.least_hashed(df.limit(5), "i", 300).count() == 5
 
 
-def test_connected_components(spark):
+@pytest.mark.parametrize("many", [10**6, 0])
+def test_connected_components(spark, many, monkeypatch):
+    monkeypatch.setattr(components, "MANY", many)
     edges = [(i, i + 1) for i in range(40)] + [(100, 50 + i) for i in range(30)] + [(200, 200)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 50 for i in [*range(50, 80), 100]}
