@@ -184,6 +184,11 @@ def _packed(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "text_hash long, text_check long, packed binary")
 
 
+def _texts_of(hashes: DataFrame, docs: DataFrame) -> DataFrame:
+    """text_hash, text_check, packed: the texts with these hashes (and others that the filter lets pass), once each."""
+    return _packed(docs, _filter(hashes)).dropDuplicates(["text_hash", "text_check"])
+
+
 def _possible(pairs: DataFrame, similar: int, schema: str) -> DataFrame:
     """The pairs whose sketches do not differ in more places than sets so similar can."""
     columns = [c.split()[0] for c in schema.split(", ")]
@@ -204,11 +209,11 @@ def _opened(asking: DataFrame, members: DataFrame, sketches: DataFrame, similar:
     piece of work: no task holds more than two blocks, and only pairs that pass leave it.
     """
     parts = lambda side, name: side.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-    split = parts(asking, "u_parts").join(parts(members, "v_parts"), "grp")
+    split = checkpoint(parts(asking, "u_parts").join(parts(members, "v_parts"), "grp"))
     part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = asking.join(split, "grp").join(sketches, "node").withColumn("u_part", part("u_parts")).withColumn("v_part", every("v_parts")).select(*[F.col(c).alias(c) for c in ("grp", "u_part", "v_part")], *[F.col(c).alias(f"u_{c}") for c in ("node", "n", "sketch")])
-    right = members.join(split, "grp").join(sketches, "node").withColumn("v_part", part("v_parts")).withColumn("u_part", every("u_parts")).select(*[F.col(c).alias(c) for c in ("grp", "u_part", "v_part")], *[F.col(c).alias(f"v_{c}") for c in ("node", "n", "sketch")])
+    left = spread_join(asking, split, "grp", "node").join(sketches, "node").withColumn("u_part", part("u_parts")).withColumn("v_part", every("v_parts")).select(*[F.col(c).alias(c) for c in ("grp", "u_part", "v_part")], *[F.col(c).alias(f"u_{c}") for c in ("node", "n", "sketch")])
+    right = spread_join(members, split, "grp", "node").join(sketches, "node").withColumn("v_part", part("v_parts")).withColumn("u_part", every("u_parts")).select(*[F.col(c).alias(c) for c in ("grp", "u_part", "v_part")], *[F.col(c).alias(f"v_{c}") for c in ("node", "n", "sketch")])
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
         classes: dict[int, list[int]] = {}
@@ -247,21 +252,22 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, si
     wanted has its bit, goes to the scan. Where it is full it lets all texts pass, and the join decides. A node in many pairs is dealt to several tasks.
     """
     for end, other in (("u", "v"), ("v", "u")):
-        pairs = spread_join(pairs, nodes.select(F.col("node").alias(end), F.col("text").alias(f"{end}_text"), F.col("sketch").alias(f"{end}_sketch"), F.col("n").alias(f"{end}_n")), end, other)
+        named = [F.col(c).alias(f"{end}_{to}") for c, to in (("text.h", "h"), ("text.c", "c"), ("sketch", "sketch"), ("n", "n"))]
+        pairs = spread_join(pairs, nodes.select(F.col("node").alias(end), *named), end, other)
 
-    pairs = checkpoint(_possible(pairs, similar, "u long, v long, u_text struct<h:long,c:long>, v_text struct<h:long,c:long>"))
-    wanted = pairs.select(F.col("u_text.h").alias("text_hash")).unionByName(pairs.select(F.col("v_text.h").alias("text_hash")))
-    texts = _packed(docs, _filter(wanted)).dropDuplicates(["text_hash", "text_check"]).select(F.struct(F.col("text_hash").alias("h"), F.col("text_check").alias("c")).alias("text"), "packed")
-    both = pairs.join(texts.select(F.col("text").alias("u_text"), F.col("packed").alias("a")), "u_text")
+    pairs = checkpoint(_possible(pairs, similar, "u long, v long, u_h long, u_c long, v_h long, v_c long"))
+    texts = _texts_of(pairs.select(F.col("u_h").alias("text_hash")).unionByName(pairs.select(F.col("v_h").alias("text_hash"))), docs)
+    of = lambda end, name: texts.select(F.col("text_hash").alias(f"{end}_h"), F.col("text_check").alias(f"{end}_c"), F.col("packed").alias(name))
+    both = pairs.join(of("u", "a"), ["u_h", "u_c"])
     many = [r["v"] for r in pairs.groupBy("v").count().where(F.col("count") > HEAVY).orderBy(F.desc("count"), "v").limit(MOST_HEAVY).collect()]
-    other = texts.select(F.col("text").alias("v_text"), F.col("packed").alias("b"))
+    rest = both.where(~F.col("v").isin(many)) if many else both
+    found = rest.join(of("v", "b"), ["v_h", "v_c"]).select("u", "v", "a", "b")
     if many:
-        listed = F.broadcast(pairs.where(F.col("v").isin(many)).select("v_text").distinct().withColumn("heavy", F.lit(1)))
-        both = both.join(listed, "v_text", "left").withColumn("part", F.when(F.col("heavy") == 1, F.pmod(F.xxhash64("u"), F.lit(PARTS)).cast("int")).otherwise(F.lit(0))).drop("heavy")
-        other = other.join(listed, "v_text", "left").withColumn("part", F.explode(F.when(F.col("heavy") == 1, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0))))).drop("heavy")
-        both = both.join(other, ["v_text", "part"])
-    else:
-        both = both.join(other, "v_text")
+        # the few texts that many pairs need go to several tasks, and their pairs are dealt to these
+        listed = F.broadcast(pairs.where(F.col("v").isin(many)).select("v_h", "v_c").distinct())
+        other = of("v", "b").join(listed, ["v_h", "v_c"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        dealt = both.where(F.col("v").isin(many)).withColumn("part", F.pmod(F.xxhash64("u"), F.lit(PARTS)).cast("int"))
+        found = found.unionByName(dealt.join(other, ["v_h", "v_c", "part"]).select("u", "v", "a", "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
@@ -284,7 +290,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, si
                     keep.append(100 * common >= similar * (len(x) + len(y) - common))
                 yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v")], ["u", "v"]).filter(pa.array(keep))
 
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    return found.mapInArrow(run, "u long, v long")
 
 
 def _prefixes(docs: DataFrame, frequent: np.ndarray, renamed: set[int], words: int, similar: int) -> DataFrame:
@@ -332,7 +338,7 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, renamed: set[int], words: i
 
 
 def _asked(met: DataFrame, similar: int) -> DataFrame:
-    """node, grp, only, w: the groups that may hold a set similar to the node's, from its matches with their tokens; w has some members that share such a token.
+    """node, grp, only, n, least, w: the groups that may hold a set similar to the node's, from its matches with their tokens; ``least`` is the least size of a member that shares a token, w has some of these members.
 
     A member whose last match is this one has no more in common than the matches so far and what either has behind it.
     """
@@ -342,7 +348,7 @@ def _asked(met: DataFrame, similar: int) -> DataFrame:
     hits = met.groupBy("node", "grp").agg(F.first("only").alias("only"), F.first("n").alias("n"), F.min("least").alias("least"), F.max(F.col("c") + F.least(F.col("n") - F.col("place"), F.col("room"))).alias("common"), *ends)
     size = F.greatest(F.col("least"), F.ceil(F.col("n") * similar / 100))
     opened = hits.where(F.lit(100 + similar) * F.col("common") >= F.lit(similar) * (F.col("n") + size))
-    return opened.select("node", "grp", "only", F.array_distinct(F.array("rarest.low", "rarest.high", "last.low", "last.high")).alias("w"))
+    return opened.select("node", "grp", "only", "n", "least", F.array_distinct(F.array("rarest.low", "rarest.high", "last.low", "last.high")).alias("w"))
 
 
 def _matrix(cells: DataFrame) -> DataFrame:
@@ -361,9 +367,8 @@ def _still_apart(opened: DataFrame, components: DataFrame) -> DataFrame:
 
 def _tokens_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """node, token: all tokens of the nodes in a list."""
-    named = checkpoint(wanted.join(nodes.select("node", "text"), "node"))
-    texts = _packed(docs, _filter(named.select(F.col("text.h").alias("text_hash")))).dropDuplicates(["text_hash", "text_check"])
-    found = named.join(texts.select(F.struct(F.col("text_hash").alias("h"), F.col("text_check").alias("c")).alias("text"), "packed"), "text")
+    named = checkpoint(wanted.join(nodes.select("node", F.col("text.h").alias("text_hash"), F.col("text.c").alias("text_check")), "node"))
+    found = named.join(_texts_of(named.select("text_hash"), docs), ["text_hash", "text_check"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
@@ -377,15 +382,12 @@ def _tokens_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, words: int)
 
 
 def _by_union(asking: DataFrame, members: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similar: int) -> DataFrame:
-    """grp, node: the askers that have enough tokens in the union of all tokens of a group's members, for the least size of a member that is similar."""
+    """grp, node: the askers that have enough tokens in the union of all tokens of a group's members, for the least size of a member that shares one."""
     tokens = written(_tokens_of(asking.select("node").union(members.select("node")).distinct(), nodes, docs, words))
     union = members.join(tokens, "node").select("grp", "token").distinct()
-    common = asking.join(tokens, "node").join(union, ["grp", "token"]).groupBy("grp", "node").agg(F.count("*").alias("common"))
-    sizes = members.join(nodes.select("node", "n"), "node").groupBy("grp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    known = common.join(nodes.select("node", "n"), "node").join(sizes, "grp")
+    common = asking.join(tokens, "node").join(union, ["grp", "token"]).groupBy("grp", "node", "n", "least").agg(F.count("*").alias("common"))
     size = F.greatest(F.col("least"), F.ceil(F.col("n") * similar / 100))
-    enough = F.lit(100 + similar) * F.col("common") >= F.lit(similar) * (F.col("n") + size)
-    return checkpoint(known.where(enough & (F.lit(100) * F.col("most") >= F.lit(similar) * F.col("n"))).select("grp", "node"))
+    return checkpoint(common.where(F.lit(100 + similar) * F.col("common") >= F.lit(similar) * (F.col("n") + size)).select("grp", "node"))
 
 
 def _joined(components: DataFrame, links: DataFrame) -> DataFrame:
@@ -435,9 +437,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     likely = opened.select(F.col("node").alias("u"), F.explode("w").alias("v"))
     components = _joined(groups, verified(checkpoint(likely.distinct()), nodes, docs, words, similar))
     # a group of one node has been tried; larger ones that are still apart are asked for by all tokens of node and group
-    apart = checkpoint(_still_apart(opened.where("only IS NULL").select("node", "grp"), components))
+    apart = checkpoint(_still_apart(opened.where("only IS NULL").select("node", "grp", "n", "least"), components))
     if apart.limit(1).count():
-        members = checkpoint(cells.select("grp", "node").join(apart.select("grp").distinct(), "grp", "left_semi").distinct())
+        every = checkpoint(cells.select("grp", "node").distinct())
+        members = checkpoint(spread_join(every, apart.select("grp").distinct(), "grp", "node"))
         asking = _by_union(apart, members, nodes, docs, words, similar)
         pairs = checkpoint(_opened(asking, members, nodes.select("node", "n", "sketch"), similar))
         components = _joined(components, verified(pairs, nodes, docs, words, similar))
