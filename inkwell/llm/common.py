@@ -71,22 +71,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
 HEAVY, PARTS, MOST_HEAVY = 500, 64, 2_000
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
-    """Join with a table that has each key once. Keys with many rows on the left are counted first; their rows are dealt by ``by`` to several tasks, to each of which the right row goes.
-
-    The left is read twice; it should be a checkpoint, or cheap.
-    """
-    heavy = [r[0] for r in left.groupBy(key).count().where(F.col("count") > HEAVY).orderBy(F.desc("count"), key).limit(MOST_HEAVY).select(key).collect() if r[0] is not None]
-    if not heavy:
-        return left.join(right, key, how)
-    listed = F.broadcast(left.sparkSession.createDataFrame([(k, 1) for k in heavy], [key, "__heavy"]))
-    part = F.when(F.col("__heavy") == 1, F.pmod(F.xxhash64(by), F.lit(PARTS)).cast("int")).otherwise(F.lit(0))
-    every = F.when(F.col("__heavy") == 1, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
-    dealt = left.join(listed, key, "left").withColumn("__part", part).drop("__heavy")
-    copied = right.join(listed, key, "left").withColumn("__part", F.explode(every)).drop("__heavy")
-    return dealt.join(copied, [key, "__part"], how).drop("__part")
-
-
 def least_hashed(rows: DataFrame, column: str, n: int) -> DataFrame:
     """The n rows with the least hash of a column. Rows far beyond them are left out first, so that no task gets n rows from every partition."""
     total = rows.count()

@@ -2,53 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import checkpoint, spread_join
-
-
-#: Edges from which the joins of a round look for hot nodes first; fewer make no task long, whatever their nodes.
-MANY = 1_000_000
+from inkwell.llm.common import checkpoint
 
 
-def _large_star(edges: DataFrame, join: Callable) -> DataFrame:
+def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return join(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame, join: Callable) -> DataFrame:
+def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = join(down, least).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = down.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _unfinished(edges: DataFrame) -> bool:
-    """Whether a node has several edges down, or is itself pointed at: else the edges are stars."""
-    several = edges.groupBy("u").count().where("count > 1").select("u")
-    between = edges.select("u").join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
-    return bool(several.unionByName(between).limit(1).count())
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (the least node reachable) for every node of ``edges`` (u, v); nodes without edges are not listed.
 
     Every round is a few joins and aggregations of the edge list, checkpointed; rounds grow with the logarithm of the longest path.
     """
     edges = checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    many = edges.count() > MANY
-    while _unfinished(edges):
-        if many:
-            # the centre of a star has many rows, so joins by node spread them
-            spread = lambda left, least: spread_join(left, least, "u", "v")
-            edges = checkpoint(_small_star(checkpoint(_large_star(edges, spread)), spread))
-        else:
-            plain = lambda left, least: left.join(least, "u")
-            edges = checkpoint(_small_star(_large_star(edges, plain), plain))
+    sign = lambda df: df.select(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+    last = sign(edges)
+    while last["n"]:
+        edges = checkpoint(_small_star(_large_star(edges)))
+        now = sign(edges)
+        if now == last:
+            break
+        last = now
     # every node but the centres of the stars is on the left once
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
