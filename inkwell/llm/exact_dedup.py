@@ -66,7 +66,9 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
         starts = np.flatnonzero(new)
         n = np.add.reduceat(t.column("n").to_numpy(), starts)
-        out = t.take(pa.array(starts)).set_column(t.schema.get_field_index("n"), "n", pa.array(n, pa.int64()))
+        # the field stays as it came, or the row that is carried would not go with the next batch
+        at = t.schema.get_field_index("n")
+        out = t.take(pa.array(starts)).set_column(at, t.schema.field(at), pa.array(n, pa.int64()))
         carry = out.slice(out.num_rows - 1)
         if out.num_rows > 1:
             yield from out.slice(0, out.num_rows - 1).combine_chunks().to_batches()

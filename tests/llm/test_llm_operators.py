@@ -73,6 +73,18 @@ def test_large_groups_of_copies_are_split(spark, rows, monkeypatch):
     assert sorted(r["doc_id"] for r in exact_dedup.deduplicate(frame(spark, rows)).collect()) == kept
 
 
+def test_exact_dedup_of_partitions_of_several_batches(spark):
+    rows = [(i, f"text {i % 13}") for i in range(60)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = exact_dedup.exact_dedup(frame(spark, rows)).collect()
+        kept = exact_dedup.deduplicate(frame(spark, rows)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in got} == {i: (i % 13, 5 if i % 13 < 8 else 4) for i in range(60)}
+    assert sorted(r["doc_id"] for r in kept) == list(range(13))
+
+
 def test_exact_dedup_keeps_apart_what_only_shares_a_digest(spark):
     runs = spark.createDataFrame([("ab", 1, 5, 7, 3), ("ab", 2, 5, 9, 4), ("ab", 1, 5, 7, 2)], "digest string, second long, n_bytes long, length long, doc_id long")
     assert sorted((r["best_id"], r["n"]) for r in exact_dedup.merge_tree(runs).collect()) == [(2, 2), (4, 1)]
