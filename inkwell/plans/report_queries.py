@@ -722,8 +722,7 @@ def coherence_score(spark, sf_dir):
 
 @query(f"SELECT 'original' AS ordering, count(*) AS pairs, round(avg(cosine), 5) AS mean FROM (WITH {_vectors_sql()} SELECT * FROM sims) UNION ALL SELECT 'shuffled', count(*), round(avg(cosine), 5) FROM (WITH {_vectors_sql('7')} SELECT * FROM sims)")
 def shuffle_control(spark, sf_dir):
-    one = lambda name, seed: coherence.similarities(vectors(spark, sf_dir, seed)).agg(F.count("*").alias("pairs"), F.round(F.avg("cosine"), 5).alias("mean")).select(F.lit(name).alias("ordering"), "pairs", "mean")
-    return one("original", None).unionByName(one("shuffled", "7"))
+    return coherence.control(docs(spark, sf_dir), P, "7")
 
 
 # ---- across pipelines ------------------------------------------------------------------------

@@ -191,3 +191,32 @@ def test_empty_tables(spark):
     assert sentiment.scores(sentiment.counts(d, LATIN)).count() == 0
     assert tone.hit_places(d, LATIN).count() == 0
     assert coherence.similarities(coherence.weighted(coherence.grams(coherence.sentence_rows(d, LATIN)))).count() == 0
+
+
+@pytest.mark.parametrize("most", [500_000, 10])
+def test_shuffled_control_of_odd_rows_agrees_with_sql(spark, tmp_path, monkeypatch, most):
+    import duckdb
+
+    from inkwell.plans import report_queries
+
+    rng = random.Random(3)
+    some = lambda: "".join(rng.choice(["ab", "ba c", "É𝔘漢", "x", ". ", "! ", "\n", "und A"]) for _ in range(rng.randrange(60)))
+    # ids that several rows share have no sentence in common, so that no order is left open
+    rows = [(i, some()) for i in range(40)] + [(50, None), (51, ""), (52, "x. ab. ab. y. ab. ba"), (None, "ab. ba. ab. ba c"), (None, "ab. ab"), (53, "one sentence"), (53, ". "), (54, "ab")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(coherence, "BROADCAST", most)
+    monkeypatch.setattr(coherence, "SLICE_BYTES", 300)
+    monkeypatch.setattr(coherence, "SLICE_SENTENCES", 7)
+    got = sorted(map(tuple, report_queries.shuffle_control(spark, str(tmp_path)).collect()))
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(c.sql(report_queries.ORACLE_SQL["shuffle_control"]).fetchall())
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert [r[2] for r in got] == pytest.approx([r[2] for r in want], abs=1.1e-5)
+
+
+def test_shuffled_control_makes_no_row_per_gram(spark):
+    """Two passes over the texts, and no join, sort or window of grams."""
+    d = spark.createDataFrame([(i, "ab ba. ba c. ab") for i in range(5)], "doc_id long, text string")
+    plan = coherence.control(d, LATIN, "7")._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Window", "Generate explode(transform", "Join", "Sort "))
