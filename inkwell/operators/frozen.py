@@ -111,9 +111,17 @@ def apply_quantiles(df: DataFrame, frozen: DataFrame, metrics: list[str]) -> Dat
     return df.withColumns({f"{m}_rank": F.round(rank(F.col(m), F.array(*map(F.lit, kept[m]))), 6) for m in metrics})
 
 
+def complete(df: DataFrame, metrics: list[str]) -> DataFrame:
+    """The metrics, all null in rows that lack one. Not a filter, which Spark would move below the columns that make the metrics, with all their work written out again inside it, once for every sentence."""
+    whole = F.lit(True)
+    for m in metrics:
+        whole = whole & F.col(m).isNotNull() & ~F.isnan(m)
+    return df.select(*[F.when(whole, F.col(m)).alias(m) for m in metrics])
+
+
 def fit_pca(df: DataFrame, metrics: list[str]) -> list[tuple[str, float, float, float]]:
     """(metric, mean, std, loading) of the first component of the complete rows' correlations; the largest loading is positive."""
-    rows = df.dropna(subset=metrics)
+    rows = complete(df, metrics)
     pairs = [(a, b) for i, a in enumerate(metrics) for b in metrics[i:]]
     got = rows.agg(*[F.avg(m).alias(f"m_{m}") for m in metrics], *[F.stddev_pop(m).alias(f"s_{m}") for m in metrics], *[F.covar_pop(a, b).alias(f"c_{a}_{b}") for a, b in pairs]).first()
     std = [got[f"s_{m}"] or 1.0 for m in metrics]

@@ -220,3 +220,18 @@ def test_shuffled_control_makes_no_row_per_gram(spark):
     d = spark.createDataFrame([(i, "ab ba. ba c. ab") for i in range(5)], "doc_id long, text string")
     plan = coherence.control(d, LATIN, "7")._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Window", "Generate explode(transform", "Join", "Sort "))
+
+
+def test_fitting_components_splits_each_text_once(spark):
+    metrics = ["cohesion", "connectives", "references"]
+    plan = frozen.complete(coherence.surface(docs(spark, SF), LATIN), metrics).agg(*[F.corr("cohesion", m) for m in metrics[1:]])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+
+
+def test_components_are_fitted_on_complete_rows(spark):
+    rows = [(1.0, 2.0), (2.0, 1.0), (3.0, 5.0), (None, 100.0), (100.0, None), (float("nan"), 100.0), (100.0, float("nan"))]
+    got = frozen.fit_pca(spark.createDataFrame(rows, "a double, b double"), ["a", "b"])
+    want = frozen.fit_pca(spark.createDataFrame(rows[:3], "a double, b double"), ["a", "b"])
+    assert [x[0] for x in got] == ["a", "b"]
+    assert [v for x in got for v in x[1:]] == pytest.approx([v for x in want for v in x[1:]])
+    assert got[0][1:3] == pytest.approx((2.0, (2 / 3) ** 0.5))
