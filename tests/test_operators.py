@@ -235,3 +235,36 @@ def test_components_are_fitted_on_complete_rows(spark):
     assert [x[0] for x in got] == ["a", "b"]
     assert [v for x in got for v in x[1:]] == pytest.approx([v for x in want for v in x[1:]])
     assert got[0][1:3] == pytest.approx((2.0, (2 / 3) ** 0.5))
+
+
+@pytest.mark.parametrize("block", [1, 3, 512])
+def test_places_of_hits_in_odd_texts_agree_with_sql(spark, tmp_path, monkeypatch, block):
+    import duckdb
+
+    from inkwell.plans import report_queries
+
+    rng = random.Random(4)
+    some = lambda n: "".join(rng.choice(["and ", "y", " of ", "En", "é", "𝔘漢 ", "is", " ", "12", "\n", "Licensed under the ", "to."]) for _ in range(n))
+    rows = [(i, some(rng.randrange(50))) for i in range(60)] + [(70, None), (71, ""), (72, " 1\n"), (73, "and"), (74, "to" + " " * 40 + "to\n"), (75, "x and " * 700)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(tone, "BLOCK", block)
+    got = report_queries.tone_evidence(spark, str(tmp_path))
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, got.collect())) == sorted(c.sql(f"SELECT {', '.join(f'"{x}"' for x in got.columns)} FROM ({report_queries.ORACLE_SQL['tone_evidence']})").fetchall())
+
+
+def test_places_of_hits_are_found_row_by_row(spark):
+    plan = tone.hit_places(docs(spark, SF), LATIN)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert plan.count("regexp_extract_all(") == 1
+
+
+def test_places_of_hits_take_time_in_proportion_to_the_text(spark):
+    def seconds(n):
+        began = time.time()
+        tone.hit_places(spark.createDataFrame([(1, "1 " * n + "and " * n)], "doc_id long, text string"), LATIN).agg(F.sum(F.length("snippet"))).collect()
+        return time.time() - began
+
+    seconds(10)
+    assert seconds(100_000) < 20
