@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkwell.functions.profiles import DECISIONS, Profile, tone_words
@@ -58,7 +59,28 @@ def wide(df: DataFrame, p: Profile, version: int = 2, id_col: str = "doc_id") ->
 
 
 def hit_places(df: DataFrame, p: Profile, version: int = 1, id_col: str = "doc_id") -> DataFrame:
-    """row_no, word, dim, start, end (from 0, in the raw text) and a snippet for every hit.
+    """row_no, word, dim, start, end (from 0, in the raw text) and a snippet for every hit; of rows that share an id (or have none) the lengths of all are added up, as the SQL does."""
+    ids = F.col(id_col)
+    again = df.groupBy(id_col).agg(F.count("*").alias("n")).where(F.col("n") > 1).select(ids.alias("again"))
+    if again.isEmpty():
+        return _places(df, p, version, id_col)
+    same = ids.eqNullSafe(F.col("again"))
+    return _places(df.join(again, same, "left_anti"), p, version, id_col).unionByName(_shared_places(df.join(again, same, "left_semi"), p, version, id_col))
+
+
+def _shared_places(df: DataFrame, p: Profile, version: int, id_col: str) -> DataFrame:
+    """As ``hit_places``, by bringing the rows of an id together."""
+    rows = df.select(F.col(id_col).alias("row_no"), text().alias("t"))
+    parts = rows.select("row_no", "t", F.posexplode(F.regexp_extract_all(mask(F.col("t"), p), F.lit(rf"([^\p{{L}}]*)({p.token})"), F.lit(0))).alias("k", "part"))
+    upto = F.sum(F.length("part")).over(W.partitionBy("row_no").orderBy("k").rangeBetween(W.unboundedPreceding, 0))
+    placed = parts.withColumn("end", upto).withColumn("word", F.regexp_extract(F.lower("part"), f"({p.token})$", 1))
+    dims = F.create_map(*[F.lit(x) for w, d in tone_words(p, version) for x in (w, d)])
+    found = placed.where(F.col("word").isin(*[w for w, _ in tone_words(p, version)])).withColumn("start", F.col("end") - F.length("word"))
+    return found.select("row_no", "word", F.try_element_at(dims, F.col("word")).alias("dim"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.substring("t", F.greatest(F.col("start") - 9, F.lit(1)).cast("int"), F.length("word") + 20).alias("snippet"))
+
+
+def _places(df: DataFrame, p: Profile, version: int, id_col: str) -> DataFrame:
+    """As ``hit_places``, for rows whose id is their own.
 
     Row by row: the tokens of a text, each with what stands before it, are cut into blocks; a block has its place
     and its part of the raw text, so that neither is looked for from the beginning of the text for every hit.

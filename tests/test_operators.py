@@ -245,13 +245,13 @@ def test_places_of_hits_in_odd_texts_agree_with_sql(spark, tmp_path, monkeypatch
 
     rng = random.Random(4)
     some = lambda n: "".join(rng.choice(["and ", "y", " of ", "En", "é", "𝔘漢 ", "is", " ", "12", "\n", "Licensed under the ", "to."]) for _ in range(n))
-    rows = [(i, some(rng.randrange(50))) for i in range(60)] + [(70, None), (71, ""), (72, " 1\n"), (73, "and"), (74, "to" + " " * 40 + "to\n"), (75, "x and " * 700)]
+    rows = [(i, some(rng.randrange(50))) for i in range(60)] + [(70, None), (71, ""), (72, " 1\n"), (73, "and"), (74, "to" + " " * 40 + "to\n"), (75, "x and " * 700), (80, "x and y of"), (80, "is it of some and more"), (None, "to and y"), (None, "or so en")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     monkeypatch.setattr(tone, "BLOCK", block)
     got = report_queries.tone_evidence(spark, str(tmp_path))
     c = duckdb.connect()
     c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
-    assert sorted(map(tuple, got.collect())) == sorted(c.sql(f"SELECT {', '.join(f'"{x}"' for x in got.columns)} FROM ({report_queries.ORACLE_SQL['tone_evidence']})").fetchall())
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(c.sql(f"SELECT {', '.join(f'"{x}"' for x in got.columns)} FROM ({report_queries.ORACLE_SQL['tone_evidence']})").fetchall(), key=str)
 
 
 def test_places_of_hits_are_found_row_by_row(spark):
