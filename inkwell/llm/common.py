@@ -129,6 +129,11 @@ class ChunkCoder:
         get = known.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
+    def forget(self) -> None:
+        """Empty the tables and return their memory to the system."""
+        self.known, self.old = {}, {}
+        give_back()
+
 
 def _of(kind: str) -> str:
     return "".join(f"\\u{c:04x}" for c in range(33, 0x250) if unicodedata.category(chr(c))[0] == kind)

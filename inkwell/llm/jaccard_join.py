@@ -272,7 +272,8 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, words: int, similar: int) -
         for whole in batches:
             for batch in slices(whole, most=8 << 20):
                 rows = []
-                for s in shingle_sets(batch.column("text").cast(pa.binary()).to_pylist(), words):
+                # whole sets are held for a part of the slice only, of the others the prefixes
+                for s in (s for part in slices(batch, most=1 << 20) for s in shingle_sets(part.column("text").cast(pa.binary()).to_pylist(), words)):
                     k = _node(s)
                     if not len(s) or k in seen:
                         continue
@@ -282,7 +283,7 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, words: int, similar: int) -
                     if len(frequent):
                         at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                         s = np.sort(s | ((frequent[at] == s).astype(np.int64) << np.int64(62)))
-                    rows.append((s[:p], k, size))
+                    rows.append((s[:p].copy(), k, size))
                 if not rows:
                     continue
                 count = np.array([len(r[0]) for r in rows])

@@ -116,6 +116,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
                 if with_ids:
                     columns, names = [*columns, pa.array(kept, pa.list_(pa.int32()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names)
+        # the worker goes on to other stages, which need the memory
+        coder.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(cut, PIECES + IDS * with_ids)
 

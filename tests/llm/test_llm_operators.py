@@ -3,9 +3,11 @@
 import base64
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +125,41 @@ def test_packed_sequences_hold_the_ids(spark, rows):
     assert all(zlib.crc32(held[r["sequence_id"]][r["offset"] :][: r["length"]].tobytes()) == r["ids_crc32"] for r in placed)
 
 
+class Runs:
+    """In place of a table: gives the function that its batches would go through."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return run
+
+
+def test_word_tables_are_emptied_after_a_task(spark):
+    path = packing.tokenizer_path("word_bpe_49k.json")
+    coder = packing.word_tokenizer(path)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["a b c", "d e f g"]})
+    cut = packing.pieces(Runs(), path)
+    for _ in range(2):
+        assert [x for b in cut(iter([batch, batch])) for x in b.column("length").to_pylist()] == [4, 5, 4, 5]
+        assert not coder.known and not coder.old
+
+
+def test_prefixes_hold_few_whole_sets():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(map(str, rng.integers(0, 1 << 30, 4_000).tolist())) for _ in range(190)]
+    run = jaccard_join._prefixes(Runs(), np.empty(0, dtype=np.int64), 5, 75)
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    tracemalloc.start()
+    try:
+        rows = sum(x.num_rows for x in run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1] / sum(map(len, texts))
+    finally:
+        tracemalloc.stop()
+    assert rows == 190 * (3_996 - 2_997 + 1)
+    assert peak < 7
+
+
 def test_shards_are_packed_together(spark):
     rows = [(i, "a " * n) for i, n in enumerate([13, 5] * 40)]
     got = packing.best_fit_packing(frame(spark, rows), capacity=20, shard=8).toPandas()
